@@ -47,6 +47,16 @@ def _levels_above(leaves: DataFrame, by: Sequence[str], digest: str, n: str) ->
     return levels
 
 
+def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Join on columns of which NULL equals NULL; the columns of ``by`` come out once."""
+    right = right.select(*[F.col(c).alias(f"__r_{c}") for c in by], *[c for c in right.columns if c not in by])
+    cond = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by]
+    if how in ("left_semi", "left_anti"):
+        return left.join(right, cond, how)
+    rest = [c for c in left.columns if c not in by] + [c for c in right.columns if not c.startswith("__r_")]
+    return left.join(right, cond, how).select(*[F.coalesce(c, f"__r_{c}").alias(c) for c in by], *rest)
+
+
 def build_tree(entries: DataFrame, part: Sequence[str], key: str, digest: str) -> list[DataFrame]:
     """Levels of (part, node, digest, n), leaves first.  Entries are distinct by (part, key)."""
     leaves = entries.groupBy(*part, node_of(F.col(key), 0).alias("node")).agg(F.bit_xor(digest).alias("digest"), F.count(F.lit(1)).alias("n"))
@@ -66,9 +76,9 @@ def changed_leaves(current: Sequence[DataFrame], saved: Sequence[DataFrame], par
         if frontier is not None:
             up = parent_of(F.col("node"), level)
             cond = [*part, "__up"]
-            now = now.withColumn("__up", up).join(frontier, cond, "left_semi").drop("__up")
-            old = old.withColumn("__up", up).join(frontier, cond, "left_semi").drop("__up")
-        diff = now.join(old, by, "full_outer").where(~(F.col("digest").eqNullSafe(F.col("__d")) & F.col("n").eqNullSafe(F.col("__n")))).select(*by)
+            now = _null_safe(now.withColumn("__up", up), frontier, cond, "left_semi").drop("__up")
+            old = _null_safe(old.withColumn("__up", up), frontier, cond, "left_semi").drop("__up")
+        diff = _null_safe(now, old, by, "full_outer").where(~(F.col("digest").eqNullSafe(F.col("__d")) & F.col("n").eqNullSafe(F.col("__n")))).select(*by)
         frontier = diff.withColumnRenamed("node", "__up")
     return diff
 
@@ -119,11 +129,11 @@ class MerkleTail:
             current = [self._read(version, f"tree{i}") for i in range(len(LEVEL_BITS) + 1)]
             saved = [self._read(done[-1], f"tree{i}") for i in range(len(current))] if done else [d.limit(0) for d in current]
             leaves = changed_leaves(current, saved, self.part)
-            rows = entries.withColumn("node", node_of(F.col(self.key), 0)).join(leaves, [*self.part, "node"], "left_semi").drop("node")
+            rows = _null_safe(entries.withColumn("node", node_of(F.col(self.key), 0)), leaves, [*self.part, "node"], "left_semi").drop("node")
             for v in done:
                 # what the saved leaves hold; equal (key, hash) pairs are not new
                 old = self._read(v, "output").select(*self.part, self.key, "__h")
-                rows = rows.join(old, [*self.part, self.key, "__h"], "left_anti")
+                rows = _null_safe(rows, old, [*self.part, self.key, "__h"], "left_anti")
             rows.write.parquet(os.path.join(path, "output"))
         except BaseException:
             shutil.rmtree(path, ignore_errors=True)
