@@ -36,7 +36,7 @@ _DIGIT = re.compile(r"\d")
 
 NUMBERS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
-    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend".split()
+    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreissig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend".split()
 )
 UNITS = frozenset(
     "penny pennies pence pound pounds crown crowns dollar dollars cent cents euro euros shilling shillings inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres ounce ounces gram grams kilo kilos kilogram kilograms ton tons litre litres gallon gallons acre acres percent km kg mm cm ml "
@@ -56,7 +56,7 @@ def words(text: str | None) -> list[str]:
         text = _DIVIDED.sub("", text)
     if "­" in text:
         text = text.replace("­", "")
-    return _WORD.findall(text.lower())
+    return _WORD.findall(text.casefold())
 
 
 def names_in(text: str | None) -> set[str]:

@@ -88,6 +88,7 @@ class SourcePlan:
     target: float
     max_repeat: int
     weight: float
+    amount: float
     reachable: bool
 
 
@@ -102,7 +103,7 @@ def weights(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budge
     most = {s: tokens.get(s, 0) * max(0, r) for s, (_, r) in targets.items()}
     short = {s for s, (t, _) in targets.items() if most[s] < t * budget}
     if not budget:
-        return [SourcePlan(s, tokens.get(s, 0), t, r, 0.0, s not in short) for s, (t, r) in targets.items()]
+        return [SourcePlan(s, tokens.get(s, 0), t, r, 0.0, 0.0, s not in short) for s, (t, r) in targets.items()]
     w = {s: most[s] / budget for s in short}
     open_share = 1.0 - sum(w.values())
     free = {s: t for s, (t, _) in targets.items() if s not in short and t > 0 and most[s] > 0}
@@ -130,7 +131,7 @@ def weights(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budge
             continue
         w |= tilted(hi)
         break
-    return [SourcePlan(s, tokens.get(s, 0), t, r, w.get(s, 0.0), s not in short) for s, (t, r) in targets.items()]
+    return [SourcePlan(s, tokens.get(s, 0), t, r, w.get(s, 0.0), w.get(s, 0.0) * budget, s not in short) for s, (t, r) in targets.items()]
 
 
 def sized(documents: DataFrame, doc_id: str, source: str, text: str, path: str = TOKENIZER) -> DataFrame:
@@ -165,12 +166,10 @@ def realise(sizes: DataFrame, plans: Sequence[SourcePlan], seed: int = 0) -> Dat
     hash order, the documents of one more block as long as they fit into the rest.
     """
     spark = sizes.sparkSession
-    total = sum(p.tokens for p in plans)
     rows = []
     for p in plans:
-        b = p.weight * (total if total else 0)
-        whole = int((b + 1e-6) // p.tokens) if p.tokens else 0
-        whole = min(whole, p.max_repeat)
+        b = p.amount + 1e-6
+        whole = min(int(b // p.tokens) if p.tokens else 0, p.max_repeat)
         rows.append((p.source, whole, b - whole * p.tokens if whole < p.max_repeat else 0.0))
     per = spark.createDataFrame(rows, "source string, whole int, rest double")
     # one row per source: bounded by the target table that the driver read

@@ -339,8 +339,16 @@ def scores(messages: DataFrame, model: Model, *, id_col: str, msg: str, keep: tu
     return out.groupBy("id").agg(*[F.min(c).alias(c) for c in keep], *[F.max(c).alias(c) for c in (*KINDS, *[f"is_{k}" for k in KINDS])])
 
 
+def found(messages: DataFrame, model: Model, *, id_col: str, msg: str) -> DataFrame:
+    """(id, kind) of the messages that have a kind; only those are shuffled."""
+    src = messages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(msg).alias("__msg"))
+    kind = src.schema["id"].dataType.simpleString()
+    out = src.mapInArrow(_score(model, 1), f"id {kind}, {', '.join(f'{k} double' for k in KINDS)}, {', '.join(f'is_{k} boolean' for k in KINDS)}")
+    return cases(out.where(" OR ".join(f"is_{k}" for k in KINDS))).distinct()
+
+
 def cases(scored: DataFrame) -> DataFrame:
-    """(id, kind), one row per message and kind."""
+    """(id, kind), one row per scored row and kind."""
     kinds = F.filter(F.array(*[F.when(F.col(f"is_{k}"), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
     return scored.select("id", F.explode(kinds).alias("kind"))
 

@@ -18,7 +18,8 @@ def _moderated(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) ->
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moderation.cases(_moderated(spark, sf_dir))
+    model = moderation.fit(table(spark, sf_dir, "moderation_sample"))
+    return moderation.found(table(spark, sf_dir, "chat_message"), model, id_col="id", msg="msg")
 
 
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
