@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.assignment import assign
+from ledgerloom.sources.checkpoint import ensure_checkpoint_dir
 
 TYPES = ("whole", "decimal", "string", "boolean", "array", "object")
 FILE = ("feed_id", "file_id")
@@ -51,19 +52,19 @@ def parse_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     one object makes the line unreadable.
     """
     base = files.select(*FILE, "written_at", "layout", F.col("line_no").cast("bigint").alias("line_no"), "payload").dropna(subset=[*FILE])
-    base = base.groupBy(*FILE, "line_no").agg(F.min_by("payload", F.xxhash64("payload")).alias("payload"), F.min("written_at").alias("written_at"), F.min("layout").alias("layout"))
     versions = base.groupBy(*FILE).agg(F.min("written_at").alias("written_at"), F.min("layout").alias("layout"))
-    lines = base.withColumn("__v", F.try_parse_json("payload"))
-    spark = files.sparkSession
+    lines = base.groupBy(*FILE, "line_no").agg(F.min_by("payload", F.xxhash64("payload")).alias("payload"), F.min("layout").alias("layout"))
+    header = lines.where("layout = 'values' AND line_no = 0").select(*FILE, F.posexplode(F.from_json("payload", "array<string>")).alias("pos", "field"))
+    header = header.where("field IS NOT NULL").groupBy(*FILE, "field").agg(F.min("pos").alias("pos"))
     cell = "pos, key, schema_of_variant(value) AS s, CAST(try_variant_get(value, '$', 'string') AS string) AS value"
-    exploded = spark.sql(f"SELECT feed_id, file_id, line_no, layout, {cell} FROM {{lines}}, LATERAL variant_explode(__v)", lines=lines)
-    exploded = exploded.withColumn("type", _type_of(F.col("s"))).drop("s")
-    objects = exploded.where("layout = 'object' AND key IS NOT NULL").select(*FILE, "line_no", F.col("key").alias("field"), "type", "value")
-    positional = exploded.where("layout = 'values' AND key IS NULL")
-    header = positional.where("line_no = 0 AND type = 'string'").groupBy(*FILE, F.col("value").alias("field")).agg(F.min("pos").alias("pos"))
-    named = header.select(*FILE, F.lit(0).cast("bigint").alias("line_no"), "field", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("value"))
-    body = positional.where("line_no > 0").join(header, [*FILE, "pos"]).select(*FILE, "line_no", "field", "type", "value")
-    return versions, objects.unionByName(named).unionByName(body)
+    exploded = files.sparkSession.sql(f"SELECT feed_id, file_id, line_no, layout, {cell} FROM {{lines}}, LATERAL variant_explode(__v)", lines=lines.withColumn("__v", F.try_parse_json("payload")))
+    # an object names its fields; positions are named by the header, which stands for itself without a value
+    of_object = (F.col("layout") == "object") & F.col("key").isNotNull()
+    of_header = (F.col("layout") == "values") & F.col("key").isNull()
+    cells = exploded.join(header.withColumnRenamed("field", "__name"), [*FILE, "pos"], "left")
+    cells = cells.withColumn("field", F.when(of_object, F.col("key")).when(of_header, F.col("__name"))).where("field IS NOT NULL")
+    said = F.when((F.col("layout") == "object") | (F.col("line_no") > 0), True)
+    return versions, cells.select(*FILE, "line_no", "field", F.when(said, _type_of(F.col("s"))).alias("type"), F.when(said, F.col("value")).alias("value"))
 
 
 def profiles(cells: DataFrame) -> DataFrame:
@@ -95,39 +96,44 @@ def consecutive(versions: DataFrame) -> DataFrame:
     return versions.withColumn("prev_id", F.lag("file_id").over(w)).where("prev_id IS NOT NULL").select(*FILE, "prev_id")
 
 
-def similarity(left: str, right: str) -> Column:
-    """Score in [0, 1] of two profile rows with the given column prefixes; 0 across types.
+def similarity(x: Column, y: Column) -> Column:
+    """Score in [0, 1] of two profiles (structs); 0 across types.
 
     Value overlap counts most: it is the share of the smaller value set that both hold.
     Without overlap, agreeing shapes and names alone stay below MIN_SCORE.  The two
     values of a boolean say nothing, so there shape (the share of true) and name decide.
     """
-    c = lambda side, name: F.col(f"{side}{name}")
-    both = F.theta_sketch_estimate(F.theta_intersection(c(left, "sketch"), c(right, "sketch"))).cast("double")
-    least = F.least(F.theta_sketch_estimate(c(left, "sketch")), F.theta_sketch_estimate(c(right, "sketch"))).cast("double")
+    both = F.theta_sketch_estimate(F.theta_intersection(x["sketch"], y["sketch"])).cast("double")
+    least = F.least(F.theta_sketch_estimate(x["sketch"]), F.theta_sketch_estimate(y["sketch"])).cast("double")
     overlap = both / F.greatest(least, F.lit(1.0))
-    gap = lambda n, scale: F.least(F.lit(1.0), F.abs(c(left, n) - c(right, n)) / scale)
+    gap = lambda n, scale: F.least(F.lit(1.0), F.abs(x[n] - y[n]) / scale)
     far = (gap("f_len", 10.0) + gap("f_digit", 0.5) + gap("f_alpha", 0.5) + gap("f_punct", 0.2)) / 4
     shape = 1 - F.coalesce(F.greatest(far, gap("f_size", 3.0)), far)
-    a, b = F.lower(F.regexp_replace(c(left, "field"), "[^A-Za-z0-9]", "")), F.lower(F.regexp_replace(c(right, "field"), "[^A-Za-z0-9]", ""))
+    a, b = (F.lower(F.regexp_replace(z["field"], "[^A-Za-z0-9]", "")) for z in (x, y))
     name = F.when(a.contains(b) | b.contains(a), 1.0).otherwise(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
     # a tenth of shared values may be chance, most of all among whole numbers; two fifths are as good as all
-    score = F.when(c(left, "type") == "boolean", 0.45 + 0.35 * shape + 0.2 * name).otherwise(0.75 * F.least(F.lit(1.0), overlap / 0.4) + 0.15 * shape + 0.1 * name)
-    return F.when(c(left, "type") == c(right, "type"), score).otherwise(0.0)
+    score = F.when(x["type"] == "boolean", 0.45 + 0.35 * shape + 0.2 * name).otherwise(0.75 * F.least(F.lit(1.0), overlap / 0.4) + 0.15 * shape + 0.1 * name)
+    return F.when(x["type"] == y["type"], F.coalesce(score, F.lit(0.0))).otherwise(0.0)
 
 
-def _match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Arrays of (before, after, score) to arrays of the matched pairs."""
-    for batch in batches:
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Solve the matching of each file pair and list its changes."""
+    for b in batches:
         out = []
-        for pairs in batch:
-            left = sorted({p["before"] for p in pairs})
-            right = sorted({p["after"] for p in pairs})
+        for r in b.to_pylist():
+            left, right = sorted({p["before"] for p in r["scored"]}), sorted({p["after"] for p in r["scored"]})
             scores = [[0.0] * len(right) for _ in left]
-            for p in pairs:
-                scores[left.index(p["before"])][right.index(p["after"])] = p["score"] if p["score"] >= MIN_SCORE else 0.0
-            out.append([{"before": left[i], "after": right[j]} for i, j in enumerate(assign(scores)) if j >= 0])
-        yield pd.Series(out)
+            for p in r["scored"]:
+                scores[left.index(p["before"])][right.index(p["after"])] = p["score"]
+            renamed = {left[i]: right[j] for i, j in enumerate(assign(scores)) if j >= 0}
+            taken = set(renamed.values())
+            rows = [("renamed", x, y) for x, y in renamed.items()] + [("retyped", x, x) for x in r["retyped"]]
+            rows += [("removed", x, "") for x in r["gone"] if x not in renamed] + [("added", "", y) for y in r["come"] if y not in taken]
+            out += [(r["feed_id"], r["file_id"], r["prev_id"], *row) for row in rows]
+        if out:
+            names = [*FILE, "prev_id", "drift", "field_before", "field_after"]
+            types = [b.schema.field(c).type for c in (*FILE, "prev_id")] + [pa.string()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
 def changes(versions: DataFrame, profile: DataFrame) -> DataFrame:
@@ -137,32 +143,34 @@ def changes(versions: DataFrame, profile: DataFrame) -> DataFrame:
     file of a feed has no changes.  A field whose type is unknown on one side (all
     NULL) is neither renamed nor retyped.
     """
-    pairs = consecutive(versions)
-    cols = [c for c in profile.columns if c not in FILE]
-    side = lambda prefix, key: profile.select("feed_id", F.col("file_id").alias(key), *[F.col(c).alias(prefix + c) for c in cols])
-    before = pairs.join(side("b_", "prev_id"), ["feed_id", "prev_id"])
-    after = pairs.join(side("a_", "file_id"), ["feed_id", "file_id"])
-    on = [*FILE, "prev_id"]
-    full = before.withColumn("name", F.col("b_field")).join(after.withColumn("name", F.col("a_field")), [*on, "name"], "full_outer")
-    retyped = full.where("b_type <> a_type").select(*on, F.lit("retyped").alias("drift"), F.col("name").alias("field_before"), F.col("name").alias("field_after"))
-    gone = full.where("a_field IS NULL").select(*on, *[F.col("b_" + c) for c in cols])
-    come = full.where("b_field IS NULL").select(*on, *[F.col("a_" + c) for c in cols])
-    # fields per file pair are few; the join key is the file pair and the type
-    score = gone.withColumn("t", F.col("b_type")).join(come.withColumn("t", F.col("a_type")), [*on, "t"]).withColumn("score", similarity("b_", "a_"))
-    lists = score.where(F.col("score") >= MIN_SCORE).groupBy(*on).agg(F.collect_list(F.struct(F.col("b_field").alias("before"), F.col("a_field").alias("after"), "score")).alias("pairs"))
-    match = F.pandas_udf(_match, "array<struct<before:string,after:string>>")
-    renamed = lists.select(*on, F.explode(match("pairs")).alias("m")).select(*on, F.lit("renamed").alias("drift"), F.col("m.before").alias("field_before"), F.col("m.after").alias("field_after"))
-    removed = gone.select(*on, F.col("b_field").alias("field_before")).join(renamed, [*on, "field_before"], "left_anti")
-    added = come.select(*on, F.col("a_field").alias("field_after")).join(renamed, [*on, "field_after"], "left_anti")
-    out = renamed.unionByName(retyped)
-    out = out.unionByName(removed.select(*on, F.lit("removed").alias("drift"), "field_before", F.lit("").alias("field_after")))
-    return out.unionByName(added.select(*on, F.lit("added").alias("drift"), F.lit("").alias("field_before"), "field_after"))
+    # one row per file: as many profiles as the file has fields
+    fields = profile.groupBy(*FILE).agg(F.collect_list(F.struct(*[c for c in profile.columns if c not in FILE])).alias("fields"))
+    none = F.slice(F.array(F.lit(None).cast(fields.schema["fields"].dataType.elementType)), 1, 0)
+    side = lambda key, name: fields.select("feed_id", F.col("file_id").alias(key), F.col("fields").alias(name))
+    pairs = consecutive(versions).join(side("prev_id", "before"), ["feed_id", "prev_id"], "left").join(side("file_id", "after"), ["feed_id", "file_id"], "left")
+    pairs = pairs.withColumns({"before": F.coalesce("before", none), "after": F.coalesce("after", none)})
+    has = lambda fs, x: F.exists(fs, lambda y: y["field"] == x["field"])
+    pairs = pairs.withColumns(
+        {
+            "gone": F.filter("before", lambda x: ~has(F.col("after"), x)),
+            "come": F.filter("after", lambda x: ~has(F.col("before"), x)),
+            "retyped": F.filter("before", lambda x: F.exists("after", lambda y: (y["field"] == x["field"]) & (y["type"] != x["type"]))),
+        }
+    ).drop("before", "after")
+    scored = F.transform("gone", lambda x: F.transform(F.filter("come", lambda y: y["type"] == x["type"]), lambda y: F.struct(x["field"].alias("before"), y["field"].alias("after"), similarity(x, y).alias("score"))))
+    names = lambda fs: F.transform(fs, lambda x: x["field"]).alias(fs)
+    pairs = pairs.withColumn("scored", F.filter(F.flatten(scored), lambda p: p["score"] >= MIN_SCORE))
+    pairs = pairs.select(*FILE, "prev_id", names("gone"), names("come"), names("retyped"), "scored")
+    ids = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in (*FILE, "prev_id"))
+    return pairs.where("size(gone) + size(come) + size(retyped) > 0").mapInArrow(_changes, f"{ids}, drift string, field_before string, field_after string")
 
 
 def drift_report(files: DataFrame) -> DataFrame:
     """Every change of every file against the file of its feed written just before it."""
+    ensure_checkpoint_dir(files.sparkSession)
     versions, cells = parse_lines(files)
-    return changes(versions, profiles(cells))
+    # the profiles are read twice, as a file's own and as the next one's: written, not computed, twice
+    return changes(versions, profiles(cells).checkpoint())
 
 
 def lifetimes(versions: DataFrame, cells: DataFrame, report: DataFrame) -> DataFrame:
@@ -197,12 +205,10 @@ def unify(files: DataFrame) -> DataFrame:
     fields maps the canonical name (the oldest along the renames of the feed) to the
     value as JSON text; NULL values and missing fields are absent.
     """
-    from ledgerloom.sources.checkpoint import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(files.sparkSession)
     versions, cells = parse_lines(files)
     cells = cells.checkpoint()
-    names = lifetimes(versions, cells, changes(versions, profiles(cells)))
+    names = lifetimes(versions, cells, changes(versions, profiles(cells).checkpoint()).checkpoint())
     body = cells.join(versions.select(*FILE, "layout"), list(FILE)).where("layout = 'object' OR line_no > 0")
     body = body.join(names, [*FILE, "field"])
     present = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("canonical", "value")))))
