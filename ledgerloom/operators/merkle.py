@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.errors import ConsistencyError, ValidationError
+from ledgerloom.sources.checkpoint import ensure_checkpoint_dir
 
 LEAF_BITS = 8
 #: Bits of a key below each level, from the leaves upwards; the root is above the last.
@@ -173,20 +174,22 @@ def replay_runs(entries: DataFrame, runs: DataFrame, part: str, key: str, seen_a
     now = F.filter("__es", lambda e: e["__v"] <= F.col("__run.__s"))
     old = F.when(F.col("__run.__s0").isNull(), F.slice("__es", 1, 0)).otherwise(F.filter("__es", lambda e: e["__v"] <= F.col("__run.__s0")))
     xor = lambda es: F.aggregate(es, F.lit(0).cast("bigint"), lambda a, e: a.bitwiseXOR(e["__h"]))
-    leaf = leaf.withColumn("__now", now).withColumn("__old", old)
-    versions = leaf.select("__p", "node", F.col("__run.__r").alias("__r"), xor(F.col("__now")).bitwiseXOR(xor(F.col("__old"))).alias("diff"), (F.size("__now") - F.size("__old")).cast("bigint").alias("n"))
+    differs = (F.col("diff") != 0) | (F.col("n") != 0)
+    leaf = leaf.withColumn("__now", now).withColumn("__old", old).withColumns({"diff": xor(F.col("__now")).bitwiseXOR(xor(F.col("__old"))), "n": (F.size("__now") - F.size("__old")).cast("bigint")})
+    fresh = F.transform(F.array_except("__now", "__old"), lambda e: e["__key"])
+    # the leaf versions are read once per level and once more: written, not computed, each time
+    ensure_checkpoint_dir(entries.sparkSession)
+    versions = leaf.where(differs).select("__p", "node", F.col("__run.__r").alias("__r"), "diff", "n", fresh.alias("__fresh")).checkpoint()
 
     # descend from the roots; a zero difference digest means equal subtrees
     by = ["__p", "__r"]
-    differs = (F.col("diff") != 0) | (F.col("n") != 0)
-    levels = _levels_above(versions.where(differs), by, "diff", "n")
+    levels = _levels_above(versions.drop("__fresh"), by, "diff", "n")
     frontier = levels[-1].where(differs).select(*by, F.col("node").alias("__up"))
     for level in reversed(range(len(levels) - 1)):
         nodes = levels[level].where(differs).withColumn("__up", parent_of(F.col("node"), level))
         frontier = nodes.join(frontier, [*by, "__up"], "left_semi").select(*by, F.col("node").alias("__up"))
     changed = frontier.withColumnRenamed("__up", "node")
 
-    # extract: what the current leaf holds and the saved one does not
-    fresh = F.explode(F.array_except("__now", "__old")).alias("__e")
-    rows = leaf.select("__p", "node", F.col("__run.__r").alias("__r"), "__now", "__old").join(changed, ["__p", "__r", "node"], "left_semi")
-    return rows.select(F.col("__p").alias(part), F.col("__r").alias(run_id), fresh).select(part, run_id, F.col("__e.__key").alias(key))
+    # extract from the changed leaves what the current tree holds and the saved one does not
+    rows = versions.select("__p", "node", "__r", "__fresh").join(changed, [*by, "node"], "left_semi")
+    return rows.select(F.col("__p").alias(part), F.col("__r").alias(run_id), F.explode("__fresh").alias(key))
