@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import enum
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import Row
 from pyspark.sql import types as T
 
 from ledgerloom.errors import ValidationError
@@ -44,6 +46,9 @@ class TableConfig:
     lock_timeout_s: float = 1.3
     read_consistency: ReadConsistency = ReadConsistency.STRONG
     write_durability: WriteDurability = WriteDurability.FLUSH
+    #: Record conversion on the driver: object to values for ``upsert``, Row to object for ``get`` and ``delete``.
+    encode: Callable[[Any], Sequence | dict] | None = None
+    decode: Callable[[Row], Any] | None = None
 
     def validate(self) -> TableConfig:
         if self.schema is None or not self.schema.fields:
@@ -100,6 +105,9 @@ class ConfigBuilder:
     def write_durability(self, d: WriteDurability) -> ConfigBuilder:
         return self._with(write_durability=d)
 
+    def records(self, encode: Callable[[Any], Sequence | dict], decode: Callable[[Row], Any]) -> ConfigBuilder:
+        return self._with(encode=encode, decode=decode)
+
     def initialize(self):
         from ledgerloom.table import LogTable
 

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import pack_position, unpack_position
 from ledgerloom.operators import drift, merkle, replay, sessions
+from ledgerloom.plans.table_queries import scratch, table
 
 SESSION_GAP_S = 1800
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _log_entries(log: DataFrame) -> DataFrame:
     """Distinct log entries: position, first arrival, content hash."""
     pos = log.select("db_id", pack_position(F.col("_seg"), F.col("_idx")).alias("key"), "arrived_at", F.xxhash64("db_id", "_seg", "_idx", "_tombstone", "id", "name", "data").alias("h"))
@@ -37,6 +34,23 @@ def p1_run_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assigned(spark, sf_dir).groupBy("db_id", "run_id", seg.alias("_seg")).agg(F.count(F.lit(1)).alias("n_entries"))
 
 
+#: Times at which p1_incremental takes a snapshot; the run at the second one fails.
+_SNAPSHOTS = ("2021-01-08 00:00:00", "2021-01-12 00:00:00", "2021-01-16 00:00:00", "9999-01-01 00:00:00")
+
+
+def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production operator: four refreshes over growing snapshots, the second of which fails."""
+    log = table(spark, sf_dir, "inst_log").withColumn("key", pack_position(F.col("_seg"), F.col("_idx")))
+    tail = merkle.MerkleTail(spark, scratch(spark), ["db_id"], "key", ["_tombstone", "id", "name", "data"])
+    seg, idx = unpack_position(F.col("key"))
+    out = []
+    for step, until in enumerate(_SNAPSHOTS):
+        rows = tail.refresh(log.where(F.col("arrived_at") <= F.lit(until).cast("timestamp_ntz")), publish=step != 1)
+        if step != 1:
+            out.append(rows.select(F.lit(step).alias("step"), "db_id", seg.alias("_seg"), idx.alias("_idx")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_report(table(spark, sf_dir, "inst_file")).select("file_id", "drift", "field_before", "field_after")
 
@@ -79,7 +93,7 @@ def p6_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chat_sessions(spark, sf_dir, "id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p3_found, p3_unified, p5_found, p5_current, p6_found, p6_sessions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_incremental, p3_found, p3_unified, p5_found, p5_current, p6_found, p6_sessions)}
 
 _SEEN = "SELECT db_id, _seg, _idx, min(arrived_at) AS v FROM inst_log WHERE db_id IS NOT NULL AND _seg IS NOT NULL AND _idx IS NOT NULL GROUP BY db_id, _seg, _idx"
 _OK = "SELECT DISTINCT db_id, run_id, started_at FROM refresh_run WHERE status = 'ok' AND finished_at IS NOT NULL AND started_at IS NOT NULL"
@@ -103,6 +117,7 @@ _MESSAGES = "SELECT DISTINCT id, ts, username FROM chat_message WHERE username I
 ORACLE_SQL = {
     "p1_found": f"SELECT run_id, _seg, _idx FROM ({_ASSIGNED}) a",
     "p1_run_sizes": f"SELECT db_id, run_id, _seg, count(*) AS n_entries FROM ({_ASSIGNED}) a GROUP BY db_id, run_id, _seg",
+    "p1_incremental": f"""SELECT CASE WHEN v <= TIMESTAMP '{_SNAPSHOTS[0]}' THEN 0 WHEN v <= TIMESTAMP '{_SNAPSHOTS[2]}' THEN 2 ELSE 3 END AS step, db_id, _seg, _idx FROM ({_SEEN}) e""",
     "p5_found": f"SELECT db_id, id, _seg, _idx FROM ({_CURRENT}) c",
     "p5_current": f"SELECT db_id, id, name, hex(data) AS data FROM ({_CURRENT}) c",
     "p6_found": f"SELECT username, start_ts, end_ts FROM ({_sessions_sql(_MESSAGES)}) x",

@@ -21,26 +21,28 @@ def _newest(df: DataFrame, pk: str, order: Sequence[str]) -> DataFrame:
 class MaterialisedLatest:
     """Latest row per key of a stream of log files, kept in a :class:`LogTable`.
 
-    Each micro-batch is reduced to one row per key and appended in one commit whose
-    rows carry the log order; the batch id is stored with the rows, so a batch that
-    is delivered again after a failure changes nothing.  Positions are compared on
-    read, which makes late files harmless.
+    Each micro-batch is reduced to one row per key; rows that are newer than the
+    table's are appended in one commit, which also carries the batch id.  A batch that
+    is delivered again after a failure changes nothing, and late files cannot bring
+    older rows back.  Since the log order of the table is then the order of the stream,
+    the table may be compacted at any time.
     """
 
-    BATCH = "_batch"
+    MARK = "stream"
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, pk: str, order: Sequence[str]):
-        self.spark, self.pk, self.order, self.schema = spark, pk, tuple(order), schema
-        self.root = root
-        fields = T.StructType([*schema.fields, T.StructField(self.BATCH, T.LongType())])
-        self.table = LogTable.open(spark, TableConfig(os.path.join(root, "table"), fields, pk))
+        self.spark, self.pk, self.order, self.schema, self.root = spark, pk, tuple(order), schema, root
+        self.table = LogTable.open(spark, TableConfig(os.path.join(root, "table"), schema, pk))
 
     def _apply(self, batch: DataFrame, batch_id: int) -> None:
-        log = self.table.log()
-        if not log.where(F.col(self.BATCH) == batch_id).isEmpty():
+        done = self.table.mark(self.MARK)
+        if done is not None and batch_id <= done:
             return
         top = _newest(batch, self.pk, self.order)
-        self.table.upsert_df(top.select(*self.schema.names, F.lit(batch_id).cast("bigint").alias(self.BATCH)))
+        current = self.table.latest().select(F.col(self.pk).alias("__pk"), F.struct(*self.order).alias("__at"))
+        newer = F.col("__at").isNull() | (F.struct(*self.order) > F.col("__at"))
+        top = top.join(current, F.col(self.pk).eqNullSafe(F.col("__pk")), "left").where(newer)
+        self.table.upsert_df(top.select(*self.schema.names), mark=(self.MARK, batch_id))
 
     def run(self, source_dir: str, files_per_trigger: int = 1) -> None:
         """Process everything that has arrived, then stop; restarts resume from the checkpoint."""
@@ -49,4 +51,4 @@ class MaterialisedLatest:
         q.awaitTermination()
 
     def latest(self) -> DataFrame:
-        return _newest(self.table.log(), self.pk, self.order).select(*self.schema.names)
+        return self.table.latest()

@@ -27,6 +27,7 @@ class _Staged:
     df: DataFrame
     tombstone: bool
     order_by: tuple[Column, ...] = ()
+    mark: tuple[str, int] | None = None
 
 
 class LogTable:
@@ -115,11 +116,15 @@ class LogTable:
     def latest(self, with_position: bool = False) -> DataFrame:
         return self._out(state.latest(self._view()), with_position)
 
-    def get(self, key) -> Row | None:
+    def get(self, key):
+        """The live row of a key (decoded if the table has a decoder), or None."""
         rows = self._out(state.find_by(self._view(), self.config.primary_key, key), False).take(2)
         if len(rows) > 1:
             raise ConsistencyError("more than one live row for a key")
-        return rows[0] if rows else None
+        return self._decoded(rows)
+
+    def _decoded(self, rows: list[Row]):
+        return None if not rows else rows[0] if self.config.decode is None else self.config.decode(rows[0])
 
     def find_by(self, name: str, value, *, allow_scan: bool = False, with_position: bool = False, **paging) -> DataFrame:
         return self._out(state.find_by(self._view(allow_scan=allow_scan), name, value, **paging), with_position)
@@ -135,6 +140,8 @@ class LogTable:
     def _rows_df(self, rows: Iterable) -> DataFrame:
         names, data = self.config.schema.names, []
         for r in rows:
+            if self.config.encode is not None:
+                r = self.config.encode(r)
             values = [r.get(n) for n in names] if isinstance(r, dict) else list(r)
             if isinstance(r, dict) and (bad := set(r) - set(names)):
                 raise ValidationError(f"unknown fields {sorted(bad)}")
@@ -155,11 +162,18 @@ class LogTable:
         return self.spark.createDataFrame(data, nullable).coalesce(1)
 
     def upsert(self, *rows) -> None:
-        """Append rows (tuples or dicts) in order; the last row of a key wins."""
+        """Append rows (tuples, dicts or what the table's encoder takes) in order; the last row of a key wins."""
         self._stage(_Staged(self._rows_df(rows), False))
 
-    def upsert_df(self, df: DataFrame, order_by: Sequence[str | Column] = ()) -> None:
-        """Append a DataFrame.  Without ``order_by`` its keys must be unique, which is checked."""
+    def mark(self, name: str) -> int | None:
+        """Last number committed under a name by ``upsert_df(mark=...)``."""
+        return self._store.load().marks.get(name)
+
+    def upsert_df(self, df: DataFrame, order_by: Sequence[str | Column] = (), mark: tuple[str, int] | None = None) -> None:
+        """Append a DataFrame.  Without ``order_by`` its keys must be unique, which is checked.
+
+        ``mark`` is a (name, number) that becomes visible together with the rows.
+        """
         if missing := set(self.config.schema.names) - set(df.columns):
             raise ValidationError(f"missing fields {sorted(missing)}")
         for f in self.config.schema.fields:
@@ -168,12 +182,11 @@ class LogTable:
         df = df.select(*self.config.schema.names, *[F.col(c).alias(f"__order{i}") if isinstance(c, str) else c.alias(f"__order{i}") for i, c in enumerate(order_by)])
         if not order_by and df.groupBy(self.config.primary_key).count().where("count > 1").take(1):
             raise ValidationError("repeated keys need order_by")
-        self._stage(_Staged(df, False, tuple(F.col(f"__order{i}") for i in range(len(order_by)))))
+        self._stage(_Staged(df, False, tuple(F.col(f"__order{i}") for i in range(len(order_by))), mark))
 
-    def delete(self, key) -> Row | None:
-        """Delete by primary key; the deleted row, or None."""
-        rows = self.delete_by(self.config.primary_key, key).take(1)
-        return rows[0] if rows else None
+    def delete(self, key):
+        """Delete by primary key; the deleted row (decoded if the table has a decoder), or None."""
+        return self._decoded(self.delete_by(self.config.primary_key, key).take(1))
 
     def delete_by(self, name: str, value) -> DataFrame:
         """Append full-row tombstones for the matching rows and return those rows.
@@ -253,6 +266,8 @@ class LogTable:
                 df.write.parquet(path)
                 top, n = self.spark.read.schema(self._log_schema()).parquet(path).agg(F.max(IDX), F.count(F.lit(1))).first()
                 seg.data.append(os.path.basename(path))
+                if op.mark is not None:
+                    new.marks[op.mark[0]] = op.mark[1]
                 if n:
                     seg.next_idx, seg.rows, seg.compacted = top + 1, seg.rows + n, False
                 if seg.next_idx >= MAX_INDEX >> 1:

@@ -36,4 +36,7 @@ def test_streaming_batches_survive_redelivery(spark, data, tmp_path):
     version = m.table.version
     m._apply(ev.where("event_id % 2 = 1"), 1)
     assert m.table.version == version
+    m._apply(ev.where("event_id < 100"), 2)  # late
+    m.table.compact_all()
+    assert rows(m.latest().select("event_id")) == rows(ev.groupBy("user_id").agg({"event_id": "max"}).drop("user_id"))
     assert m.latest().count() == ev.select("user_id").distinct().count()

@@ -275,3 +275,12 @@ def test_pushdown_of_key_predicates(spark, tmp_path):
     assert "EqualTo(id,1)" in plan(t.find_by("id", 1)) and "In(id" in plan(t.batch_find_by("id", [1, 2]))
     assert "EqualTo(name" not in plan(t.find_by("name", "a"))
     assert "WindowGroupLimit" in plan(t.latest())
+
+
+def test_builder_and_record_hooks(spark, tmp_path):
+    t = (
+        LogTable.configure(spark).data_dir(tmp_path / "b").fields("id bigint, name string").primary_key("id").secondary_keys("name").segment_rows(10).lock_timeout(1.0)
+        .read_consistency(ReadConsistency.STRONG).write_durability(WriteDurability.FLUSH).records(lambda o: (o["key"], o["label"]), lambda r: {"key": r.id, "label": r.name}).initialize()
+    )
+    t.upsert({"key": 1, "label": "a"})
+    assert t.get(1) == {"key": 1, "label": "a"} == t.delete(1) and t.get(1) is None
