@@ -45,7 +45,7 @@ GROUPS = _set(
 )
 DEHUMANISING = _set("vermin filth animals animal leeches leech parasites parasite plague rats cockroaches roaches subhuman subhumans trash garbage savages beasts disease infestation pigs dogs dirt scum maggots pest breed")
 SEXUAL = _set(
-    "horny nude nudes naked porn porno xxx sex sexy orgy orgies condoms condom tits tit boobs pussy cock dick penis vagina blowjob handjob fuck fucking fucked cum jerk jerked wank lick masturbate masturbating strip stripping spread wet hard moan suck sucking escort onlyfans uncensored bare topless erotic kinky threesome milf anal nipples cunt bend lust undress cam"
+    "horny nude nudes naked porn porno xxx sex sexy orgy orgies condoms condom tits tit boobs pussy cock dick penis vagina blowjob handjob fuck fucking fucked cum jerk jerked wank lick masturbate masturbating strip stripping spread wet hard moan suck sucking escort onlyfans uncensored bare topless erotic kinky threesome milf anal nipples cunt bend lust undress cam ass arse butt"
 )
 THINGS = _set(
     "cache build router server parser segment queue index printer backup deploy compaction lock laptop page code pointers docs terminal script test tests machine computer phone bug database query log logs disk mistake idea question weather bus train palette colour color cast form process parent child dir cellar feeder mistake soundtrack money hike film book podcast match concert puzzle"

@@ -145,7 +145,7 @@ _STREETS_EN = (
     re.compile(r"(?<!\w)(?:rue|avenue|place|boulevard|chemin|impasse|via|calle) (?:[^\W\d_][\w'’-]*[ ]){0,4}\d{1,4}(?!\w)|(?<![\w.:,/-])\d{1,4},? (?:rue|avenue|boulevard|chemin|impasse) (?:de |du |des |la |le |les |l')*[^\W\d_]+", re.I),
 )
 _STREET_DE = re.compile(r"(?<!\w)[A-ZÄÖÜ][a-zäöüß-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|hang|ufer|damm|ring|steig|markt|berg|graben|wehr)\.? \d{1,4} ?[a-f]?(?!\w|[.:/-]\d)")
-_STREET_POST = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ][\wäöüß.'-]*[ ]){1,4}\d{1,4}[a-f]?, (?:[A-Z]{1,2}-)?\d{5} [A-ZÄÖÜ]")
+_STREET_POST = re.compile(r"(?<!\w)(?:[A-ZÄÖÜ][\wäöüß.'-]*[ ]){1,4}\d{1,4}[a-f]?, (?:[A-Z]{1,2}-)?\d{5}(?= [A-ZÄÖÜ])")
 _STREET_WORDS = frozenset(_TYPES.split("|")) | frozenset("rue chemin impasse via calle".split())
 
 GIVEN = frozenset(
