@@ -44,10 +44,18 @@ def _levels_above(leaves: DataFrame, by: Sequence[str], digest: str, n: str) ->
     """Aggregate leaf rows (by, node, digest, n) up to the root; index = level."""
     levels = [leaves]
     for level in range(len(LEVEL_BITS)):
-        levels.append(levels[-1].withColumn("node", parent_of(F.col("node"), level)).groupBy(*by, "node").agg(F.bit_xor(digest).alias(digest), F.sum(n).alias(n)))
+        levels.append(_level_above(levels[-1], level, by, digest, n))
     return levels
 
 
+def _level_above(nodes: DataFrame, level: int, by: Sequence[str], digest: str, n: str) -> DataFrame:
+    return nodes.withColumn("node", parent_of(F.col("node"), level)).groupBy(*by, "node").agg(F.bit_xor(digest).alias(digest), F.sum(n).alias(n))
+
+
+def _leaves(entries: DataFrame, part: Sequence[str], key: str, digest: str) -> DataFrame:
+    return entries.groupBy(*part, node_of(F.col(key), 0).alias("node")).agg(F.bit_xor(digest).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
     """Join on columns of which NULL equals NULL; the columns of ``by`` come out once."""
     right = right.select(*[F.col(c).alias(f"__r_{c}") for c in by], *[c for c in right.columns if c not in by])
@@ -60,8 +68,7 @@ def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -
 
 def build_tree(entries: DataFrame, part: Sequence[str], key: str, digest: str) -> list[DataFrame]:
     """Levels of (part, node, digest, n), leaves first.  Entries are distinct by (part, key)."""
-    leaves = entries.groupBy(*part, node_of(F.col(key), 0).alias("node")).agg(F.bit_xor(digest).alias("digest"), F.count(F.lit(1)).alias("n"))
-    return _levels_above(leaves, part, "digest", "n")
+    return _levels_above(_leaves(entries, part, key, digest), part, "digest", "n")
 
 
 def changed_leaves(current: Sequence[DataFrame], saved: Sequence[DataFrame], part: Sequence[str]) -> DataFrame:
@@ -125,9 +132,11 @@ class MerkleTail:
         version = uuid.uuid4().hex
         path = os.path.join(self.root, version)
         try:
-            for level, df in enumerate(build_tree(entries, self.part, self.key, "__h")):
+            current: list[DataFrame] = []
+            for level in range(len(LEVEL_BITS) + 1):  # each from the written one below it
+                df = _leaves(entries, self.part, self.key, "__h") if not level else _level_above(current[-1], level - 1, self.part, "digest", "n")
                 df.write.parquet(os.path.join(path, f"tree{level}"))
-            current = [self._read(version, f"tree{i}") for i in range(len(LEVEL_BITS) + 1)]
+                current.append(self._read(version, f"tree{level}"))
             saved = [self._read(done[-1], f"tree{i}") for i in range(len(current))] if done else [d.limit(0) for d in current]
             leaves = changed_leaves(current, saved, self.part)
             rows = _null_safe(entries.withColumn("node", node_of(F.col(self.key), 0)), leaves, [*self.part, "node"], "left_semi").drop("node")
