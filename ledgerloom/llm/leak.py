@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.spread import spread
+
 WINDOW = 12
 #: Item windows up to which their hashes travel with the tasks (8 bytes each).
 MAX_FILTER = 2_000_000
@@ -149,7 +151,7 @@ def _windows_of(df: DataFrame, id_col: str, text_col: str, windows: Windows, wan
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     kind = src.schema["id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return src.mapInArrow(_emit(windows, wanted, arrow), f"id {kind}, hash bigint, pos bigint, words string, slots array<string>")
+    return spread(src).mapInArrow(_emit(windows, wanted, arrow), f"id {kind}, hash bigint, pos bigint, words string, slots array<string>")
 
 
 def leaks(corpus: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, passage: str, max_filter: int = MAX_FILTER) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.ordinal import CumulativeLink
+from ledgerloom.sources.spread import spread
 
 KINDS = ("abuse", "hate", "sexual")
 N_GRADES = 3
@@ -335,7 +336,7 @@ def scores(messages: DataFrame, model: Model, *, id_col: str, msg: str, keep: tu
     """
     src = messages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *keep, F.col(msg).alias("__msg"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    out = src.mapInArrow(_score(model, 1 + len(keep)), f"{head}, {', '.join(f'{k} double' for k in KINDS)}, {', '.join(f'is_{k} boolean' for k in KINDS)}")
+    out = spread(src).mapInArrow(_score(model, 1 + len(keep)), f"{head}, {', '.join(f'{k} double' for k in KINDS)}, {', '.join(f'is_{k} boolean' for k in KINDS)}")
     return out.groupBy("id").agg(*[F.min(c).alias(c) for c in keep], *[F.max(c).alias(c) for c in (*KINDS, *[f"is_{k}" for k in KINDS])])
 
 
@@ -343,7 +344,7 @@ def found(messages: DataFrame, model: Model, *, id_col: str, msg: str) -> DataFr
     """(id, kind) of the messages that have a kind; only those are shuffled."""
     src = messages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(msg).alias("__msg"))
     kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(_score(model, 1), f"id {kind}, {', '.join(f'{k} double' for k in KINDS)}, {', '.join(f'is_{k} boolean' for k in KINDS)}")
+    out = spread(src).mapInArrow(_score(model, 1), f"id {kind}, {', '.join(f'{k} double' for k in KINDS)}, {', '.join(f'is_{k} boolean' for k in KINDS)}")
     return cases(out.where(" OR ".join(f"is_{k}" for k in KINDS))).distinct()
 
 

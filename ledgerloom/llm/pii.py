@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.spread import spread
+
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDER = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID_NUMBER>", "street_address": "<ADDRESS>", "person_name": "<NAME>"}
 
@@ -308,7 +310,7 @@ def findings(messages: DataFrame, id_col: str, texts: tuple[str, ...], handles:
     """
     fields = {**dict.fromkeys(texts, False), **dict.fromkeys(handles, True)}
     src = messages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), *fields)
-    return src.mapInArrow(_find(fields), "id string, field string, kind string, start int, end int").distinct()
+    return spread(src).mapInArrow(_find(fields), "id string, field string, kind string, start int, end int").distinct()
 
 
 def redacted(text: Column, handle: bool = False) -> Column:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.boosting import Boosted, isotonic
+from ledgerloom.sources.spread import spread
 
 BANDS = ("plain", "middle", "demanding")
 #: Greatest number of graded passages used for fitting, in order of their ids.
@@ -39,7 +40,7 @@ LINKS = frozenset("because although though unless whereas since while whether if
 
 FEATURES = (
     ["words_mean", "words_p10", "words_p50", "words_p90", "letters_mean", "letters_p50", "letters_p90", "long7", "long10", "long13", "syllables", "syl4", "common", "links", "distinct", "commas", "overlap"]
-    + [f"sent_letters_p{q}" for q in (10, 25, 50, 75, 90)]
+    + [f"sent_letters_p{q}" for q in (10, 40, 50, 60, 90)]
     + ["sent_hard", "sent_easy", "word_share_hard", "word_share_easy"]
 )
 
@@ -115,7 +116,7 @@ def features(text: str | None) -> list[float] | None:
     letters_of.sort()
     return [
         n / k, *[_quantile(sizes, q) for q in (0.1, 0.5, 0.9)], sum(letters) / n, _quantile(letters, 0.5), _quantile(letters, 0.9), n7 / n, n10 / n, n13 / n, syl / n, syl4 / n, common / n, links / n,
-        len(counts) / n**0.75, (text.count(",") + text.count(";")) / n, shared / pairs if pairs else 0.0, *[_quantile(letters_of, q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)], hard / k, easy / k, hard_words / n, easy_words / n,
+        len(counts) / n**0.75, (text.count(",") + text.count(";")) / n, shared / pairs if pairs else 0.0, *[_quantile(letters_of, q) for q in (0.1, 0.4, 0.5, 0.6, 0.9)], hard / k, easy / k, hard_words / n, easy_words / n,
     ]
 
 
@@ -172,6 +173,7 @@ def levels(documents: DataFrame, model: ReadingModel, *, doc_id: str, text: str,
     A document delivered again with the same content counts once; deliveries with
     different texts keep the highest grade.  NULL or wordless texts have no grade.
     """
-    d = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), *keep, grade(F.col(text), model).alias("grade"))
+    d = spread(documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text")))
+    d = d.select("doc_id", *keep, grade(F.col("__text"), model).alias("grade"))
     d = d.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in keep], F.max("grade").alias("grade"))
     return d.withColumn("band", band_of(F.col("grade")))
