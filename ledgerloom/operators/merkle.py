@@ -139,16 +139,18 @@ class MerkleTail:
                 current.append(self._read(version, f"tree{level}"))
             saved = [self._read(done[-1], f"tree{i}") for i in range(len(current))] if done else [d.limit(0) for d in current]
             leaves = changed_leaves(current, saved, self.part)
-            rows = _null_safe(entries.withColumn("node", node_of(F.col(self.key), 0)), leaves, [*self.part, "node"], "left_semi").drop("node")
-            for v in done:
-                # what the saved leaves hold; equal (key, hash) pairs are not new
-                old = self._read(v, "output").select(*self.part, self.key, "__h")
-                rows = _null_safe(rows, old, [*self.part, self.key, "__h"], "left_anti")
-            rows.write.parquet(os.path.join(path, "output"))
+            by = [*self.part, "node"]
+            rows = _null_safe(entries.withColumn("node", node_of(F.col(self.key), 0)), leaves, by, "left_semi")
+            if done:
+                # what the changed leaves hold in the saved state: the last content of each key
+                held = self.spark.read.parquet(*[os.path.join(self.root, v, "output") for v in done]).select(*by, self.key, "__h", "__run")
+                held = _null_safe(held, leaves, by, "left_semi").groupBy(*by, self.key).agg(F.max_by("__h", "__run").alias("__h"))
+                rows = _null_safe(rows, held, [*by, self.key, "__h"], "left_anti")
+            rows.withColumn("__run", F.lit(len(done))).write.parquet(os.path.join(path, "output"))
         except BaseException:
             shutil.rmtree(path, ignore_errors=True)
             raise
-        out = self._read(version, "output").drop("__h")
+        out = self._read(version, "output").drop("__h", "__run", "node")
         if publish:
             tmp = os.path.join(self.root, f"CURRENT.{version}")
             with open(tmp, "w") as f:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from decimal import Decimal
 
@@ -27,7 +28,7 @@ def scratch(spark: SparkSession) -> str:
     """A fresh directory for a table: in the folder the cluster shares, or a local one in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        shared = shared.removeprefix("file://")
+        shared = re.sub("^file:(//)?", "", shared)
         os.makedirs(shared, exist_ok=True)
     return os.path.join(tempfile.mkdtemp(prefix="ledger-", dir=shared), "table")
 

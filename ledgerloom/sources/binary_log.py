@@ -208,7 +208,7 @@ def load_table(spark: SparkSession, path: str, table) -> None:
     from ledgerloom.operators.state import LogView, latest
 
     log = read_log(spark, path, table.config.schema)
-    table.upsert_df(latest(LogView(log, table.config.primary_key, order=(SEG, IDX), tombstone=TOMB)))
+    table.upsert_df(latest(LogView(log, table.config.primary_key, order=(SEG, IDX), tombstone=TOMB)), assume_unique=True)
 
 
 def write_segment(root: str, number: int, rows: list[tuple[list[Any], bool] | None]) -> None:

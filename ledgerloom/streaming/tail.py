@@ -42,7 +42,7 @@ class MaterialisedLatest:
         current = self.table.latest().select(F.col(self.pk).alias("__pk"), F.struct(*self.order).alias("__at"))
         newer = F.col("__at").isNull() | (F.struct(*self.order) > F.col("__at"))
         top = top.join(current, F.col(self.pk).eqNullSafe(F.col("__pk")), "left").where(newer)
-        self.table.upsert_df(top.select(*self.schema.names), mark=(self.MARK, batch_id))
+        self.table.upsert_df(top.select(*self.schema.names), mark=(self.MARK, batch_id), assume_unique=True)
 
     def run(self, source_dir: str, files_per_trigger: int = 1) -> None:
         """Process everything that has arrived, then stop; restarts resume from the checkpoint."""

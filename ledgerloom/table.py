@@ -8,7 +8,7 @@ import shutil
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,8 +169,10 @@ class LogTable:
         """Last number committed under a name by ``upsert_df(mark=...)``."""
         return self._store.load().marks.get(name)
 
-    def upsert_df(self, df: DataFrame, order_by: Sequence[str | Column] = (), mark: tuple[str, int] | None = None) -> None:
-        """Append a DataFrame.  Without ``order_by`` its keys must be unique, which is checked.
+    def upsert_df(self, df: DataFrame, order_by: Sequence[str | Column] = (), mark: tuple[str, int] | None = None, assume_unique: bool = False) -> None:
+        """Append a DataFrame.  Without ``order_by`` its keys must be unique.
+
+        That is checked, which shuffles the keys; ``assume_unique`` takes the caller's word.
 
         ``mark`` is a (name, number) that becomes visible together with the rows.
         """
@@ -180,7 +182,7 @@ class LogTable:
             if df.schema[f.name].dataType != f.dataType:
                 raise ValidationError(f"field {f.name!r} is {df.schema[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
         df = df.select(*self.config.schema.names, *[F.col(c).alias(f"__order{i}") if isinstance(c, str) else c.alias(f"__order{i}") for i, c in enumerate(order_by)])
-        if not order_by and df.groupBy(self.config.primary_key).count().where("count > 1").take(1):
+        if not order_by and not assume_unique and df.groupBy(self.config.primary_key).count().where("count > 1").take(1):
             raise ValidationError("repeated keys need order_by")
         self._stage(_Staged(df, False, tuple(F.col(f"__order{i}") for i in range(len(order_by))), mark))
 
@@ -263,8 +265,9 @@ class LogTable:
                 df = df.select(F.lit(seg.number).alias(SEG), (F.monotonically_increasing_id() + F.lit(seg.next_idx)).alias(IDX), F.lit(op.tombstone).alias(TOMB), *self.config.schema.names)
                 path = self._store.new_data_path()
                 written.append(path)
-                df.write.parquet(path)
-                top, n = self.spark.read.schema(self._log_schema()).parquet(path).agg(F.max(IDX), F.count(F.lit(1))).first()
+                seen = Observation()  # counted while writing: no second pass
+                df.observe(seen, F.max(IDX).alias("top"), F.count(F.lit(1)).alias("n")).write.parquet(path)
+                top, n = seen.get["top"], seen.get["n"]
                 seg.data.append(os.path.basename(path))
                 if op.mark is not None:
                     new.marks[op.mark[0]] = op.mark[1]

@@ -53,6 +53,8 @@ def test_refresh_hands_out_each_change_once(spark, tail):
     assert rows(tail().refresh(mk(b), publish=False)) == rows(tail().refresh(mk(b)))  # a failed run keeps nothing
     assert tail().refresh(mk(b)).count() == 0
     assert rows(tail().refresh(mk([*b, (2, 9, "z", "")]))) == [(2, 9, "z")]
+    back = [r if r[1] != 300 else (1, 300, None, "x") for r in b] + [(2, 9, "z", "")]
+    assert rows(tail().refresh(mk(back))) == [(1, 300, None)]  # an earlier content is a change again
 
 
 def test_crash_before_publishing_skips_and_repeats_nothing(spark, tail, monkeypatch):
