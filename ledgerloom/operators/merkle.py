@@ -57,13 +57,10 @@ def _leaves(entries: DataFrame, part: Sequence[str], key: str, digest: str) -> D
 
 
 def _null_safe(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
-    """Join on columns of which NULL equals NULL; the columns of ``by`` come out once."""
-    right = right.select(*[F.col(c).alias(f"__r_{c}") for c in by], *[c for c in right.columns if c not in by])
+    """Semi- or anti-join on columns of which NULL equals NULL."""
+    right = right.select(*[F.col(c).alias(f"__r_{c}") for c in by])
     cond = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by]
-    if how in ("left_semi", "left_anti"):
-        return left.join(right, cond, how)
-    rest = [c for c in left.columns if c not in by] + [c for c in right.columns if not c.startswith("__r_")]
-    return left.join(right, cond, how).select(*[F.coalesce(c, f"__r_{c}").alias(c) for c in by], *rest)
+    return left.join(right, cond, how)
 
 
 def build_tree(entries: DataFrame, part: Sequence[str], key: str, digest: str) -> list[DataFrame]:
@@ -80,13 +77,11 @@ def changed_leaves(current: Sequence[DataFrame], saved: Sequence[DataFrame], par
     by = [*part, "node"]
     frontier: DataFrame | None = None
     for level in reversed(range(len(current))):
-        now, old = current[level], saved[level].select(*by, F.col("digest").alias("__d"), F.col("n").alias("__n"))
+        # both sides in one pass; the XOR of equal digests is zero
+        nodes = current[level].select(*by, "digest", "n").unionByName(saved[level].select(*by, "digest", (-F.col("n")).alias("n")))
         if frontier is not None:
-            up = parent_of(F.col("node"), level)
-            cond = [*part, "__up"]
-            now = _null_safe(now.withColumn("__up", up), frontier, cond, "left_semi").drop("__up")
-            old = _null_safe(old.withColumn("__up", up), frontier, cond, "left_semi").drop("__up")
-        diff = _null_safe(now, old, by, "full_outer").where(~(F.col("digest").eqNullSafe(F.col("__d")) & F.col("n").eqNullSafe(F.col("__n")))).select(*by)
+            nodes = _null_safe(nodes.withColumn("__up", parent_of(F.col("node"), level)), frontier, [*part, "__up"], "left_semi")
+        diff = nodes.groupBy(*by).agg(F.bit_xor("digest").alias("digest"), F.sum("n").alias("n")).where((F.col("digest") != 0) | (F.col("n") != 0)).select(*by)
         frontier = diff.withColumnRenamed("node", "__up")
     return diff
 
@@ -138,7 +133,8 @@ class MerkleTail:
                 df.write.parquet(os.path.join(path, f"tree{level}"))
                 current.append(self._read(version, f"tree{level}"))
             saved = [self._read(done[-1], f"tree{i}") for i in range(len(current))] if done else [d.limit(0) for d in current]
-            leaves = changed_leaves(current, saved, self.part)
+            changed_leaves(current, saved, self.part).write.parquet(os.path.join(path, "changed"))
+            leaves = self._read(version, "changed")
             by = [*self.part, "node"]
             rows = _null_safe(entries.withColumn("node", node_of(F.col(self.key), 0)), leaves, by, "left_semi")
             if done:
