@@ -73,23 +73,25 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.realise(sizes, plans), plans)
 
 
-def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _levels(spark: SparkSession, sf_dir: str, documents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     model = reading.fit(table(spark, sf_dir, "reading_sample"))
-    english = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return reading.levels(english, model, doc_id="doc_id", text="text", keep=("source",))
+    return reading.levels(documents, model, doc_id="doc_id", text="text", keep=keep)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir).where("band = 'demanding'").select("doc_id")
+    """Demanding documents of lang ``en`` only."""
+    english = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return _levels(spark, sf_dir, english, ("source",)).where("band = 'demanding'").select("doc_id")
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir)
+    """Level of every document, whatever its lang; the scale is an English one."""
+    return _levels(spark, sf_dir, table(spark, sf_dir, "documents"), ("source", "lang"))
 
 
 def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, mean grade and bands per source."""
-    g = _levels(spark, sf_dir).groupBy("source")
+    """Documents of every lang, mean grade and bands per source."""
+    g = p9_levels(spark, sf_dir).groupBy("source")
     return g.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("grade").alias("mean_grade"), *[F.count_if(F.col("band") == b).alias(f"n_{b}") for b in reading.BANDS])
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from ledgerloom.llm import reading
+from ledgerloom.llm import queries, reading
 from ledgerloom.llm.boosting import Boosted, isotonic
 from tests.conftest import rows
 
@@ -56,3 +56,16 @@ def test_too_small_a_sample(spark):
 def test_band_borders(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.49,), (1.5,), (None,)], "g double")
     assert rows(df.select("g", reading.band_of(df.g))) == [(0.0, "plain"), (0.5, "middle"), (1.49, "middle"), (1.5, "demanding"), (None, None)]
+
+
+def test_queries_grade_documents_of_every_lang(spark, data, tmp_path):
+    sample = spark.read.parquet(f"{data}/reading_sample.parquet")
+    sample.write.parquet(f"{tmp_path}/reading_sample.parquet")
+    hard = sample.where("band = 'demanding'").first().text
+    docs = [(1, hard, "en", "a"), (2, hard, None, "a"), (3, "Die Regierung berät heute den Haushalt.", "de", "b"), (4, "Nous allons voter ce budget.", "fr", "b"), (5, None, "de", "b")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.p9_levels(spark, str(tmp_path)).collect()}
+    assert {i: r.lang for i, r in got.items()} == {i: lang for i, _, lang, _ in docs}
+    assert got[2].band == "demanding" and all(got[i].grade is not None for i in (1, 2, 3, 4)) and got[5].grade is None
+    assert {r.source: r.n_docs for r in queries.p9_profile(spark, str(tmp_path)).collect()} == {"a": 2, "b": 3}
+    assert rows(queries.p9_found(spark, str(tmp_path))) == [(1,)]
