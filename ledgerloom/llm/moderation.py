@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
+from re import _constants, _parser
 
 import pandas as pd
 import pyarrow as pa
@@ -161,30 +164,87 @@ def clean(text: str) -> str:
 # -- features -----------------------------------------------------------------------------
 
 
+_LITERAL, _AT, _SUBPATTERN, _MAX_REPEAT, _BRANCH = (getattr(_constants, n) for n in ("LITERAL", "AT", "SUBPATTERN", "MAX_REPEAT", "BRANCH"))
+
+
+def _fragments(pattern: re.Pattern) -> frozenset[str] | None:
+    """Word pieces of which every match holds one at least, read from the pattern; None if it needs none."""
+    return _fragments_of(_parser.parse(pattern.pattern))
+
+
+def _fragments_of(tree) -> frozenset[str] | None:
+    needed: list[frozenset[str] | None] = []
+    run = ""
+    for op, arg in [*tree, (None, None)]:
+        if op is _LITERAL and (chr(arg).isalnum() or arg == ord("'")):
+            run += chr(arg)
+            continue
+        if op is _AT:
+            continue
+        needed.append(frozenset([run]) if run else None)
+        run = ""
+        if op is _SUBPATTERN:
+            needed.append(_fragments_of(arg[-1]))
+        elif op is _MAX_REPEAT and arg[0] > 0:
+            needed.append(_fragments_of(arg[2]))
+        elif op is _BRANCH:
+            parts = [_fragments_of(b) for b in arg[1]]
+            needed.append(None if None in parts else frozenset().union(*parts))
+    return max((n for n in needed if n), key=lambda n: min(map(len, n)), default=None)
+
+
+class _Possible(dict):
+    """Per word, the bits of the patterns it lets match; remembered."""
+
+    def __init__(self, patterns: dict[str, re.Pattern]):
+        self.bit = {k: 1 << i for i, k in enumerate(patterns)}
+        needs = {k: _fragments(p) for k, p in patterns.items()}
+        self.always = sum(self.bit[k] for k, n in needs.items() if n is None)
+        self.needs = [(self.bit[k], n) for k, n in needs.items() if n is not None]
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        self[word] = m = sum(bit for bit, n in self.needs if any(f in word for f in n))
+        return m
+
+    def of(self, words: list[str]) -> int:
+        return reduce(or_, map(self.__getitem__, words), self.always)
+
+
+_possible = _Possible({**PHRASES, "_demonym": _DEMONYM, "_beast": _BEAST, "_named": _NAMED})
+
+
 def features(sentence: str, context: str = "") -> dict[str, float]:
-    """Sparse features of a cleaned sentence; ``context`` is the one before it."""
+    """Sparse features of a cleaned sentence; ``context`` is the one before it.
+
+    A pattern is searched for only where the words hold a piece it cannot match without.
+    Classes outside ``_CUES`` qualify a cue and count only in a sentence that has one.
+    """
     words = sentence.replace(" ,", "").split()
     bag = set(words)
-    if not bag & _TRIGGERS and not _DEMONYM.search(sentence):
-        return {}
+    may, bit = _possible.of(words), _possible.bit
+    demonym = bool(may & bit["_demonym"] and _DEMONYM.search(sentence))
     f: dict[str, float] = {}
     classes = {
-        "insult": bool(bag & INSULT_NOUNS) or "piece of shit" in sentence or bool(_BEAST.search(sentence)),
+        "insult": bool(bag & INSULT_NOUNS) or "piece of shit" in sentence or bool(may & bit["_beast"] and _BEAST.search(sentence)),
         "insult_adj": bool(bag & INSULT_ADJECTIVES),
         "you": bool(bag & YOU),
         "harm": bool(bag & HARM),
-        "group": bool(bag & GROUPS) or bool(_DEMONYM.search(sentence)),
+        "group": bool(bag & GROUPS) or demonym,
         "dehumanising": bool(bag & DEHUMANISING),
         "sexual": bool(bag & SEXUAL),
         "thing": bool(bag & THINGS),
         "reporting": bool(bag & REPORTING),
         "self": bool(bag & SELF),
-        "named": bool(_NAMED.search(sentence)),
+        "named": bool(may & bit["_named"] and _NAMED.search(sentence)),
     }
     flat = sentence.replace(" ,", ",").replace(" ;", ";").replace(" :", ":").replace(" ?", "?").replace(" !", "!")
     for k, p in PHRASES.items():
-        classes[k] = bool(p.search(flat))
+        classes[k] = bool(may & bit[k] and p.search(flat))
     on = [k for k, v in classes.items() if v]
+    if _CUES.isdisjoint(on):
+        return f
     for k in on:
         f[k] = 1.0
     for a, b in _PAIRS:
@@ -211,13 +271,9 @@ _PAIRS = (
     ("insult", "you"), ("insult", "named"), ("insult", "demean"), ("insult", "dismiss"), ("insult_adj", "you"), ("insult", "insult_adj"), ("insult", "thing"), ("harm", "you"), ("threat", "you"), ("dismiss", "you"), ("group", "dehumanising"), ("group", "exclude"), ("group", "essence"), ("group", "exterminate"), ("dehumanising", "essence"),
     ("sexual", "solicit"), ("sexual", "you"), ("sexual", "act"), ("sexual", "ad"), ("sexual", "thing"), ("act", "you"), ("act", "solicit"), ("sexual", "reporting"), ("insult", "reporting"), ("insult", "said_by_others"), ("harm", "figurative"), ("group", "harmless_group"), ("insult", "of_a_thing"), ("sexual", "dismiss"), ("group", "insult"),
 )
+#: Classes that can make a case; the others (addresses, things, quoting, figures of speech) tell nothing by themselves.
+_CUES = _set("insult insult_adj harm group dehumanising sexual threat dismiss demean exclude exterminate essence solicit act ad")
 _SCORED_WORDS = INSULT_NOUNS | SEXUAL | DEHUMANISING | HARM
-#: A sentence without any of these words has no features but the demonym's.
-_TRIGGERS = (
-    CUE_WORDS
-    | _set("shit likes loves miss cry crawl lost account read klappe fresse maul dégage gueule ashamed dog waste yourself watch happens know jump deserve find obviously typical theft blood trust code kitchen nothing clean before rents burden coffin temples temple wear wearing inch room ready touch face bend over needs dm bio singles pics videos show 18+ screw piss hell raus deport welcome force keep throw send lock allowed verpiss ferme crève embarrassment joke space")
-) - _set("people folk ground fat hard wet know before over code nothing show read room face ready lost find keep send force clean needs videos joke space welcome")
-_TRIGGERS |= _set("people folk ground fat hard wet blood over read room face ready lost find keep send know code")
 
 
 def sentences(text: str) -> list[str]:
@@ -248,6 +304,7 @@ SEEDS = (
 @dataclass
 class Model:
     by_kind: dict[str, CumulativeLink]
+    memory: dict[tuple[str, ...], list[tuple[float, bool]]] = field(default_factory=dict)
 
     def severities(self, text: str | None) -> tuple[list[float], list[bool]]:
         """Expected severity per kind and whether grade 1 or more is likelier than not."""
@@ -255,21 +312,28 @@ class Model:
         hit = [False] * len(KINDS)
         if not text:
             return best, hit
-        whole = clean(text)
-        if _TRIGGERS.isdisjoint(whole.split()) and not _DEMONYM.search(whole):
-            return best, hit
         before = ""
         for s in sentences(text):
             c = clean(s)
             f = features(c, before)
             before = c
             if f:
-                for i, k in enumerate(KINDS):
-                    t = self.by_kind[k].tails(f)
-                    best[i] = max(best[i], float(t.sum()))
-                    hit[i] = hit[i] or bool(t[0] > 0.5)
+                for i, (expected, likelier) in enumerate(self._of(f)):
+                    best[i] = max(best[i], expected)
+                    hit[i] = hit[i] or likelier
         return best, hit
 
+    def _of(self, f: dict[str, float]) -> list[tuple[float, bool]]:
+        """Expected severity and hit per kind of a sentence's features, remembered."""
+        key = tuple(f)
+        got = self.memory.get(key)
+        if got is None:
+            if len(self.memory) > 1 << 16:
+                self.memory.clear()
+            tails = [self.by_kind[k].tails(f) for k in KINDS]
+            got = self.memory[key] = [(float(t.sum()), bool(t[0] > 0.5)) for t in tails]
+        return got
+
     @property
     def floor(self) -> dict[str, float]:
         if not hasattr(self, "_floor"):

@@ -88,3 +88,26 @@ def test_spark_rows(spark, model):
     r = {(x.source, x.kind): (x.n, x.n_cases) for x in M.rates(s, "source").collect()}
     assert r["web", "abuse"] == (3, 2) and r[None, "hate"] == (1, 0)
     assert M.scores(df.limit(0), model, id_col="id", msg="msg").count() == 0
+
+
+UNLISTED = ["I will end you", "we will get you", "you are nothing", "you are a joke", "nobody wants you", "sleep with me", "make love to me", "I want to feel you inside", "it was clean before"]
+
+
+@pytest.mark.parametrize("text", UNLISTED)
+def test_phrases_without_a_lexicon_word_are_scored(model, text):
+    assert M.features(M.clean(text)) and max(a - model.floor[k] for a, k in zip(model.severities(text)[0], M.KINDS)) > 0.05
+
+
+def test_phrase_cases_and_group_before(model):
+    assert kinds(model, "I will end you") == kinds(model, "nobody wants you") == {"abuse"} and kinds(model, "sleep with me") == {"sexual"}
+    assert "group_before" in M.features("it was clean before", "the kelvians moved in")
+
+
+def test_skipped_searches_change_no_feature(sample, monkeypatch):
+    rng = random.Random(4)
+    every = [M.clean(s) for t in [*UNLISTED, *(x[2] for x in M.SEEDS), *(r.msg for r in sample.collect() if r.msg)] for s in M.sentences(t)]
+    pool = [w for s in every for w in s.split()] + [f for p in M.PHRASES.values() for f in M._fragments(p) or ()]
+    every += [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(5000)]
+    quick = [M.features(s, "women") for s in every]
+    monkeypatch.setattr(M._Possible, "of", lambda self, words: -1)  # all patterns are searched for
+    assert quick == [M.features(s, "women") for s in every]
