@@ -94,23 +94,22 @@ def _signs(text: str, spans: Spans, pattern: re.Pattern, sign: str) -> tuple[str
     return _replace(text, spans, edits) if edits else (text, spans)
 
 
+def _identity(text: str) -> Spans:
+    return [(i, i + 1) for i in range(len(text))]
+
+
 def normalise(text: str) -> tuple[str, Spans | None]:
     """Normalised text and, per character, its source span; None stands for the identity."""
-    low = text.lower()
-    plain = text.isascii()
-    spelled = sum(low.count(w) for w in ("one", "two", "three", "four", "six", "seven", "nine", "oh", "zero", "eins", "null", "acht")) >= 3
-    disguised = "at" in low and ("dot" in low or "(at" in low or "[at" in low or "{at" in low or "( at" in low or "<at" in low) or " @ " in low
-    if plain and not spelled and not disguised:
-        return text, None
-    spans: Spans = [(i, i + 1) for i in range(len(text))]
-    if not plain:
+    spans: Spans | None = None
+    if not text.isascii():
         text, spans = _fold(text)
-    if spelled:
-        text, spans = _digits(text, spans)
-    if disguised or not plain:
-        joined, at = _signs(text, spans, _AT, "@")
-        if "@" in joined:
-            text, spans = _signs(joined, at, _DOT, ".")
+    # each transducer runs where its own pattern matches
+    if _DIGIT_RUN.search(text):
+        text, spans = _digits(text, spans or _identity(text))
+    if _AT.search(text):
+        text, spans = _signs(text, spans or _identity(text), _AT, "@")
+    if "@" in text and _DOT.search(text):
+        text, spans = _signs(text, spans or _identity(text), _DOT, ".")
     return text, spans
 
 

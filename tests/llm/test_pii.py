@@ -116,3 +116,19 @@ def test_held_out_generated_messages():
         total += 1
         hits += (kind, made) in kinds(text)
     assert hits / total > 0.97
+
+
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("ruf an: null eins sieben sechs zwei drei vier fünf sechs neun bitte", "phone", "null eins sieben sechs zwei drei vier fünf sechs neun"),
+        ("ring nought five eight five eight five five eight five eight five now", "phone", "nought five eight five eight five five eight five eight five"),
+        ("write to ann (@) host.test please", "email", "ann (@) host.test"),
+        ("write to ann [@] host.test please", "email", "ann [@] host.test"),
+        ("write to ann [ at ] host.test please", "email", "ann [ at ] host.test"),
+        ("write to ann { at } host.test please", "email", "ann { at } host.test"),
+        ("write to ann < at > host.test please", "email", "ann < at > host.test"),
+    ],
+)
+def test_every_form_of_the_transducers_is_read(text, kind, span):
+    assert (kind, span) in kinds(text)
