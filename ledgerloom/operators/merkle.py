@@ -19,6 +19,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,16 +114,25 @@ class MerkleTail:
     def _read(self, version: str, what: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.root, version, what))
 
+    def _contents(self, version: str) -> DataFrame:
+        """Hashes of all contents of each key that a run saw changed."""
+        if os.path.isdir(os.path.join(self.root, version, "contents")):
+            return self._read(version, "contents")
+        # a version of the time when a key had one content
+        return self._read(version, "output").withColumn("__hs", F.array("__h"))
+
     def refresh(self, snapshot: DataFrame, *, publish: bool = True) -> DataFrame:
         """Process a snapshot: rows (part, key, columns); rows delivered again count once.
 
-        Rows with a NULL key are left out.  If one key has several contents, the one
-        with the smallest hash stands for it.  Returns the rows of this run; with
-        ``publish=False`` (a run that fails at the end) they are returned but not kept.
+        Rows with a NULL key are left out.  If one key has several contents, as in a log
+        that keeps the old row beside the changed one, all of them are its state, and those
+        that the last published state of the key lacks are handed out.  Returns the rows of
+        this run; with ``publish=False`` (a run that fails at the end) they are returned but
+        not kept.
         """
         h = F.xxhash64(*self.part, self.key, *self.columns)
         entries = snapshot.where(F.col(self.key).isNotNull()).withColumn("__h", h)
-        entries = entries.groupBy(*self.part, self.key).agg(F.min("__h").alias("__h"), *[F.min_by(c, "__h").alias(c) for c in self.columns])
+        entries = entries.groupBy(*self.part, self.key, "__h").agg(*[F.first(c).alias(c) for c in self.columns])
         done = self._published()
         version = uuid.uuid4().hex
         path = os.path.join(self.root, version)
@@ -137,12 +147,15 @@ class MerkleTail:
             leaves = self._read(version, "changed")
             by = [*self.part, "node"]
             rows = _null_safe(entries.withColumn("node", node_of(F.col(self.key), 0)), leaves, by, "left_semi")
+            contents = rows.groupBy(*by, self.key).agg(F.sort_array(F.collect_set("__h")).alias("__hs"))
             if done:
-                # what the changed leaves hold in the saved state: the last content of each key
-                held = self.spark.read.parquet(*[os.path.join(self.root, v, "output") for v in done]).select(*by, self.key, "__h", "__run")
-                held = _null_safe(held, leaves, by, "left_semi").groupBy(*by, self.key).agg(F.max_by("__h", "__run").alias("__h"))
-                rows = _null_safe(rows, held, [*by, self.key, "__h"], "left_anti")
+                # what the changed leaves hold in the saved state: the last contents of each key
+                held = reduce(DataFrame.unionByName, [self._contents(v).select(*by, self.key, "__hs", "__run") for v in done])
+                held = _null_safe(held, leaves, by, "left_semi").groupBy(*by, self.key).agg(F.max_by("__hs", "__run").alias("__hs"))
+                rows = _null_safe(rows, held.withColumn("__h", F.explode("__hs")), [*by, self.key, "__h"], "left_anti")
+                contents = _null_safe(contents, held, [*by, self.key, "__hs"], "left_anti")
             rows.withColumn("__run", F.lit(len(done))).write.parquet(os.path.join(path, "output"))
+            contents.withColumn("__run", F.lit(len(done))).write.parquet(os.path.join(path, "contents"))
         except BaseException:
             shutil.rmtree(path, ignore_errors=True)
             raise

@@ -57,6 +57,19 @@ def test_refresh_hands_out_each_change_once(spark, tail):
     assert rows(tail().refresh(mk(back))) == [(1, 300, None)]  # an earlier content is a change again
 
 
+def test_a_change_beside_the_old_row_is_handed_out(spark, tail):
+    mk = lambda rs: spark.createDataFrame(rs, "db int, key bigint, name string")
+    old = [(p, k, "old") for p in (1, None) for k in range(20)]
+    new = [(p, k, f"new{k}") for p, k, _ in old]
+    by_text = lambda rs: sorted(rs, key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert rows(tail().refresh(mk(old))) == by_text(old)
+    assert rows(tail().refresh(mk(old + new))) == by_text(new)  # whichever hash is the smaller
+    assert tail().refresh(mk(old + new + new)).count() == 0
+    assert tail().refresh(mk(new)).count() == 0  # the old rows were compacted away
+    assert rows(tail().refresh(mk(new + old[:1]))) == [old[0]]
+    assert rows(tail().refresh(mk([*new, old[0], (1, 3, "newer")]))) == [(1, 3, "newer")]
+
+
 def test_crash_before_publishing_skips_and_repeats_nothing(spark, tail, monkeypatch):
     df = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "db int, key bigint, name string")
     tail().refresh(df.where("key = 0"))
