@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import pack_position, unpack_position
 from ledgerloom.operators import drift, merkle, replay, sessions
-from ledgerloom.plans.table_queries import scratch, table
+from ledgerloom.plans.table_queries import table
+from ledgerloom.sources.shared import fresh
 
 SESSION_GAP_S = 1800
 
 
-def _log_entries(log: DataFrame) -> DataFrame:
-    """Distinct log entries: position, first arrival, content hash."""
-    pos = log.select("db_id", pack_position(F.col("_seg"), F.col("_idx")).alias("key"), "arrived_at", F.xxhash64("db_id", "_seg", "_idx", "_tombstone", "id", "name", "data").alias("h"))
-    return pos.groupBy("db_id", "key").agg(F.min("arrived_at").alias("seen_at"), F.min("h").alias("h"))
+_CONTENT = ["_tombstone", "id", "name", "data"]
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "inst_log").withColumn("key", pack_position(F.col("_seg"), F.col("_idx")))
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of runs, worked off from an empty state."""
     runs = table(spark, sf_dir, "refresh_run").where("status = 'ok' AND finished_at IS NOT NULL").select("db_id", "run_id", "started_at")
-    return merkle.replay_runs(_log_entries(table(spark, sf_dir, "inst_log")), runs, "db_id", "key", "seen_at", "h", "run_id", "started_at")
+    tail = merkle.MerkleTail(spark, fresh(spark, "merkle"), ["db_id"], "key", _CONTENT)
+    return tail.backfill(_positions(spark, sf_dir), runs, "arrived_at", "run_id", "started_at")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +44,8 @@ _SNAPSHOTS = ("2021-01-08 00:00:00", "2021-01-12 00:00:00", "2021-01-16 00:00:00
 
 def p1_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The production operator: four refreshes over growing snapshots, the second of which fails."""
-    log = table(spark, sf_dir, "inst_log").withColumn("key", pack_position(F.col("_seg"), F.col("_idx")))
-    tail = merkle.MerkleTail(spark, scratch(spark), ["db_id"], "key", ["_tombstone", "id", "name", "data"])
+    log = _positions(spark, sf_dir)
+    tail = merkle.MerkleTail(spark, fresh(spark, "merkle"), ["db_id"], "key", _CONTENT)
     seg, idx = unpack_position(F.col("key"))
     out = []
     for step, until in enumerate(_SNAPSHOTS):
