@@ -21,8 +21,10 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.errors import ConsistencyError, ValidationError
 from ledgerloom.sources.shared import SharedFolder
@@ -58,6 +60,13 @@ def _together(*jobs: Callable[[], object]) -> list:
         return [f.result() for f in [pool.submit(job) for job in jobs]]
 
 
+def _observed(count: Observation) -> int:
+    try:
+        return count.get["n"]
+    except Py4JJavaError:  # nothing observed: the input was empty and planned away
+        return 0
+
+
 def tree(leaves: DataFrame, by: Sequence[str]) -> DataFrame:
     """All levels, (by, __level, __node, __digest, __n), of leaf rows (by, __node, __digest, __n)."""
     nodes, path = F.col("__node"), []
@@ -102,12 +111,19 @@ class MerkleTail:
         if not self.folder.publish(f"manifest-{after + 1:010d}", json.dumps({"versions": list(versions)})):
             raise ConsistencyError("another run has published since this one began")
 
-    def _read(self, version: str, what: str) -> DataFrame:
-        return self.spark.read.parquet(self.folder.at(f"{version}/{what}"))
+    def _read(self, version: str, what: str, schema: T.StructType | None = None) -> DataFrame:
+        reader = self.spark.read.schema(schema) if schema is not None else self.spark.read  # a given schema spares opening files
+        return reader.parquet(self.folder.at(f"{version}/{what}"))
 
     def _write(self, df: DataFrame, version: str, what: str) -> DataFrame:
         df.write.parquet(self.folder.at(f"{version}/{what}"))
-        return self._read(version, what)
+        return self._read(version, what, df.schema)
+
+    def _stored(self, what: str, columns: str, fields: Sequence[T.StructField], versions: Sequence[str]) -> DataFrame | None:
+        """One of the saved tables of all versions; __v is a version's place."""
+        schema = T.StructType([*fields, *T.StructType.fromDDL(columns).fields])
+        every = [self._read(v, what, schema).withColumn("__v", F.lit(i)) for i, v in enumerate(versions) if self.folder.exists(f"{v}/{what}")]
+        return reduce(DataFrame.unionByName, every) if every else None
 
     def _write_contents(self, df: DataFrame, version: str) -> None:
         df = df.withColumn("__bucket", self._bucket()).hint("rebalance", "__bucket")
@@ -116,31 +132,30 @@ class MerkleTail:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.part, parent_of(F.col("__node"), 0)), F.lit(BUCKETS)).cast("int")
 
-    def _saved(self, versions: Sequence[str], levels: Sequence[int] = range(LEVELS)) -> DataFrame | None:
-        """Newest state of each saved node: (part, __level, __node, __digest, __n, __v); __v is the version's place."""
-        there = [(i, f"changed{lv}") for i, v in enumerate(versions) for lv in levels if self.folder.exists(f"{v}/changed{lv}")]
-        if not there:
+    def _saved(self, versions: Sequence[str], level: int | None = None) -> DataFrame | None:
+        """Newest state of each saved node: (part, __level, __node, __digest, __n, __v); __v is its version's place."""
+        nodes = self._stored("changed", "__i int, __node bigint, __digest bigint, __n bigint, __level int", self._fields[:-1], versions)
+        if nodes is None:
             return None
-        every = [self._read(versions[i], name).withColumn("__v", F.lit(i)) for i, name in there]
-        at = F.struct("__v", "__i")
-        last = F.max_by(F.struct("__digest", "__n", "__v"), at).alias("__last")
-        nodes = reduce(DataFrame.unionByName, every).groupBy(*self.part, "__level", "__node").agg(last)
-        return nodes.select(*self.part, "__level", "__node", "__last.*").where("__n > 0")
+        if level is not None:
+            nodes = nodes.where(F.col("__level") == level)
+        last = F.max_by(F.struct("__digest", "__n", "__v"), F.struct("__v", "__i")).alias("__last")
+        return nodes.groupBy(*self.part, "__level", "__node").agg(last).select(*self.part, "__level", "__node", "__last.*").where("__n > 0")
 
     def _held(self, versions: Sequence[str], leaves: DataFrame | None) -> DataFrame | None:
         """Saved contents (part, __node, key, __h) of some leaves, or of all of them.
 
         At most BUCKETS folder names are collected; other folders are not opened.
         """
-        saved = self._saved(versions, [0])
+        saved = self._saved(versions, 0)
         if saved is None:
             return None
         buckets = None
         if leaves is not None:
             buckets = [r[0] for r in leaves.select(self._bucket()).distinct().collect()]
             saved = _null_safe(saved, leaves, [*self.part, "__node"], "left_semi")
-        every = [self._read(v, "contents").withColumn("__v", F.lit(i)) for i, v in enumerate(versions) if self.folder.exists(f"{v}/contents")]
-        contents = reduce(DataFrame.unionByName, every)
+        fields = [*self._fields[:-1], T.StructField("__node", T.LongType()), self._fields[-1]]
+        contents = self._stored("contents", "__h bigint, __bucket int", fields, versions)
         if buckets is not None:
             contents = contents.where(F.col("__bucket").isin(buckets))
         return _null_safe(contents, saved, [*self.part, "__node", "__v"], "left_semi").select(*self.part, "__node", self.key, "__h")
@@ -168,14 +183,16 @@ class MerkleTail:
                 F.coalesce(F.max(F.when(F.col("__now"), F.col("__n"))), F.lit(0)).alias("__n"),
             )
             diff = diff.where("__x != 0 OR __d != 0").drop("__x", "__d").observe(differ, F.count(F.lit(1)).alias("n"))
-            diff = self._write(diff, version, f"changed{level}")
-            self.compared.append(seen.get["n"])
-            if not differ.get["n"]:
+            diff = self._write(diff.drop("__level"), version, f"changed/__level={level}")
+            self.compared.append(_observed(seen))
+            if not _observed(differ):
                 return None
             frontier = diff.select(*by, F.col("__node").alias("__up"))
         return diff.select(*by, "__node")
 
-    def _begin(self) -> tuple[int, list[str], str]:
+    def _begin(self, rows: DataFrame | None = None) -> tuple[int, list[str], str]:
+        if rows is not None:
+            self._fields = [T.StructField(c, rows.schema[c].dataType) for c in (*self.part, self.key)]
         return *self._published(), uuid.uuid4().hex
 
     # -- one run ---------------------------------------------------------------------------
@@ -199,7 +216,7 @@ class MerkleTail:
             narrow = rows.groupBy(*ids).agg(newest)
         else:
             narrow = rows.select(*ids, "__h").distinct()
-        after, versions, version = self._begin()
+        after, versions, version = self._begin(snapshot)
         by = [*self.part, "__i"]
         try:
             leaves = narrow.groupBy(*self.part, "__node").agg(F.bit_xor("__h").alias("__digest"), F.count(F.lit(1)).alias("__n"))
@@ -236,7 +253,7 @@ class MerkleTail:
             raise
         if publish and len(versions) + 1 >= MERGE_AFTER:
             self._merge()
-        return self._read(version, "output").select(*self.part, self.key, *self.columns)
+        return self._read(version, "output", rows.select(*self.part, self.key, *self.columns).schema)
 
     def removed(self) -> DataFrame | None:
         """(part, key) of the records that the newest version no longer saw; None if it had no predecessor."""
@@ -250,7 +267,7 @@ class MerkleTail:
         after, versions, version = self._begin()
         saved = self._saved(versions)
         for level in range(LEVELS):
-            self._write(saved.where(F.col("__level") == level).drop("__v").withColumn("__i", F.lit(0)), version, f"changed{level}")
+            self._write(saved.where(F.col("__level") == level).select(*self.part, F.lit(0).alias("__i"), "__node", "__digest", "__n"), version, f"changed/__level={level}")
         self._write_contents(self._held(versions, None), version)
         try:
             self._publish(after, [version])
@@ -275,7 +292,7 @@ class MerkleTail:
         ``2**LEAF_BITS`` of them, so neither a hot part nor many deliveries of an entry
         meet in one task.
         """
-        after, versions, version = self._begin()
+        after, versions, version = self._begin(log)
         part, by = self.part, [*self.part, "__i"]
         log = log.dropna(subset=[*part, self.key, seen_at]).withColumn("__h", F.xxhash64(*part, self.key, *self.columns))
         entries = log.groupBy(*part, self.key).agg(F.min(seen_at).alias("__at"), F.min("__h").alias("__h"))
@@ -325,4 +342,4 @@ class MerkleTail:
         except BaseException:
             self.folder.remove(version)
             raise
-        return self._read(version, "output")
+        return self._read(version, "output", nothing.schema)

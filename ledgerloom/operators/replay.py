@@ -66,18 +66,19 @@ def _fold(t: pa.Table, keys: Sequence[str], values: Sequence[str]) -> pa.Table:
         first = np.full(len(starts), -1)
         g = group[hit]
         lead = np.append(True, g[1:] != g[:-1]) if len(hit) else np.zeros(0, bool)
+        if not lead.all():  # same sequence, set more than once: the smallest value, NULL last
+            hit = hit[np.lexsort((_ranks(t[c].take(pa.array(hit))), g))]
         first[g[lead]] = hit[lead]
-        if len(hit) > lead.sum():  # same sequence, set more than once: the smallest value, NULL last
-            for i in np.unique(g[~lead]):
-                rows = hit[g == i]
-                first[i] = min(rows.tolist(), key=lambda r: _rank(t[c][r].as_py()))
         out[c] = t[c].take(pa.array(first, mask=first < 0))
         out[_set_by(c)] = pa.array(best)
     return pa.table(out).select(t.column_names)
 
 
-def _rank(v) -> tuple:
-    return (v is None, v.hex() if isinstance(v, bytes) else repr(v))
+def _ranks(values: pa.ChunkedArray) -> np.ndarray:
+    """Ascending ranks of values, NULL last; of any type that can be ordered, others by their text."""
+    if pa.types.is_nested(values.type) or pa.types.is_dictionary(values.type):
+        values = pa.chunked_array([pa.array([None if v is None else repr(v) for v in values.to_pylist()], pa.string())])
+    return pc.rank(values, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy()
 
 
 def _machine(keys: Sequence[str], values: Sequence[str]):

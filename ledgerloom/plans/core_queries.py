@@ -84,6 +84,13 @@ def p5_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replayed(spark, sf_dir).select("db_id", "id", "name", F.hex("data").alias("data"))
 
 
+def p5_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial-column updates: a NULL in an entry leaves the column as it was."""
+    log = table(spark, sf_dir, "inst_log")
+    state = replay.replay(log, ["db_id", "id"], pack_position(F.col("_seg"), F.col("_idx")), F.col("_tombstone"), _RECORD, partial=True)
+    return replay.live_rows(state, ["db_id", "id"], _RECORD).select("db_id", "id", "name", F.hex("data").alias("data"))
+
+
 def _chat_sessions(spark: SparkSession, sf_dir: str, event_id: str | None) -> DataFrame:
     return sessions.sessions(table(spark, sf_dir, "chat_message"), "username", "ts", SESSION_GAP_S, event_id=event_id)
 
@@ -97,7 +104,7 @@ def p6_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chat_sessions(spark, sf_dir, "id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_incremental, p3_found, p3_unified, p5_found, p5_current, p6_found, p6_sessions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_run_sizes, p1_incremental, p3_found, p3_unified, p5_found, p5_current, p5_partial, p6_found, p6_sessions)}
 
 _SEEN = "SELECT db_id, _seg, _idx, min(arrived_at) AS v FROM inst_log WHERE db_id IS NOT NULL AND _seg IS NOT NULL AND _idx IS NOT NULL GROUP BY db_id, _seg, _idx"
 _OK = "SELECT DISTINCT db_id, run_id, started_at FROM refresh_run WHERE status = 'ok' AND finished_at IS NOT NULL AND started_at IS NOT NULL"
@@ -124,6 +131,10 @@ ORACLE_SQL = {
     "p1_incremental": f"""SELECT CASE WHEN v <= TIMESTAMP '{_SNAPSHOTS[0]}' THEN 0 WHEN v <= TIMESTAMP '{_SNAPSHOTS[2]}' THEN 2 ELSE 3 END AS step, db_id, _seg, _idx FROM ({_SEEN}) e""",
     "p5_found": f"SELECT db_id, id, _seg, _idx FROM ({_CURRENT}) c",
     "p5_current": f"SELECT db_id, id, name, hex(data) AS data FROM ({_CURRENT}) c",
+    "p5_partial": """SELECT db_id, id, arg_max(name, pos) FILTER (WHERE name IS NOT NULL) AS name, hex(arg_max(data, pos) FILTER (WHERE data IS NOT NULL)) AS data
+      FROM (SELECT *, max(CASE WHEN dead THEN pos END) OVER (PARTITION BY db_id, id) AS wiped
+        FROM (SELECT *, (_seg::BIGINT << 48) | _idx AS pos, coalesce(_tombstone, false) AS dead FROM inst_log) t) u
+      WHERE NOT dead AND pos > coalesce(wiped, -1) GROUP BY db_id, id""",
     "p6_found": f"SELECT username, start_ts, end_ts FROM ({_sessions_sql(_MESSAGES)}) x",
     "p6_sessions": f"SELECT username, CAST(session_no AS BIGINT) AS session_no, start_ts, end_ts, duration, n_events FROM ({_sessions_sql(_MESSAGES)}) x",
 }

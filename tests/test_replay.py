@@ -65,3 +65,20 @@ def test_ties_nulls_and_empty(spark):
     assert rows(live_rows(run(df), ["k"], COLS)) == [("k", "a", 1, None, 1)]
     assert rows(live_rows(run(df.repartition(5)), ["k"], COLS)) == [("k", "a", 1, None, 1)]
     assert run(df.limit(0)).count() == 0
+
+
+def test_repeated_sequences_fold_in_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    from ledgerloom.operators.replay import NEVER, _fold
+
+    n = 80_000
+    k = [i // 2 for i in range(n)]
+    t = pa.table({"k": k, "__seq": k, "__reset_seq": pa.array([NEVER] * n), "__live_seq": k, "v": [b"%d" % (i % 7) if i % 5 else None for i in range(n)], "__set_v": k})
+    began = time.process_time()
+    out = _fold(t, ["k"], ["v"])
+    assert time.process_time() - began < 1
+    pair = lambda i: [x for x in (t["v"][i].as_py(), t["v"][i + 1].as_py()) if x is not None]
+    assert out["v"].to_pylist() == [min(pair(i), default=None) for i in range(0, n, 2)]
