@@ -1,8 +1,9 @@
 """Abusive, hateful and sexually explicit messages.
 
 Words are first freed of disguises (look-alike digits and signs, masked, spaced, dotted or
-drawn-out letters).  Each sentence then yields sparse features: lexicon classes, the cue
-words themselves and conjunctions of classes, such as an insult next to an address.  One
+drawn-out letters).  Each sentence then yields sparse features: its words, pieces of words
+and pairs of words, whatever they are; classes of known words and phrases; and conjunctions
+of classes, such as an insult next to an address.  One
 cumulative-link ordinal regression per kind, its weights shared by all thresholds,
 predicts a severity grade: 0 none, 1 present, 2 severe.  The score of a message is the
 highest expected severity of its sentences; a message has a kind if grade 1 or more is
@@ -12,9 +13,11 @@ the likelier.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from math import exp
 from operator import or_
 from re import _constants, _parser
 
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.ordinal import CumulativeLink
+from ledgerloom.llm.moderation_seeds import write_out
+from ledgerloom.llm.ordinal import UNKNOWN, CumulativeLink
 from ledgerloom.sources.spread import spread
 
 KINDS = ("abuse", "hate", "sexual")
@@ -39,17 +43,17 @@ def _set(words: str) -> frozenset[str]:
 # -- lexicon ---------------------------------------------------------------------------
 
 INSULT_NOUNS = _set(
-    "idiot idiots moron morons imbecile imbeciles cretin cretins bastard bastards asshole assholes arsehole bitch bitches loser losers scumbag scumbags clown clowns jerk dumbass dickhead prick twat wanker retard cunt slut whore coward halfwit dimwit nitwit twit numbskull fool dunce creep weirdo lowlife swine scum failure arschloch depp trottel dummkopf wichser hurensohn schlampe missgeburt vollidiot imbécile connard connasse salope abruti crétin enculé débile dégénéré"
+    "kys stfu gtfo jackass jackasses simpleton muppet tosser git airhead fraud scumbags creeps cowards fools idiot idiots moron morons imbecile imbeciles cretin cretins bastard bastards asshole assholes arsehole bitch bitches loser losers scumbag scumbags clown clowns jerk dumbass dickhead prick twat wanker retard cunt slut whore coward halfwit dimwit nitwit twit numbskull fool dunce creep weirdo lowlife swine scum failure arschloch depp trottel dummkopf wichser hurensohn schlampe missgeburt vollidiot imbécile connard connasse salope abruti crétin enculé débile dégénéré"
 )
 INSULT_ADJECTIVES = _set("pathetic useless stupid dumb worthless spineless brainless filthy lying two-faced fat ugly miserable unwanted disgusting braindead ignorant clueless toothless gutless hideous revolting blöd dumm nutzlos stupide nul")
 YOU = _set("you your yours yourself u ur ya youre you're du dich dir dein deine tu te toi ton ta t'es")
-HARM = _set("kill smash break burn cut stab shoot beat beaten hurt bleed strangle hang punch slap choke crush drown murder destroy bury rape ground coffin dead die regret suffer")
+HARM = _set("kill slit gut skin poison choking stomp smack kys smash break burn cut stab shoot beat beaten hurt bleed strangle hang punch slap choke crush drown murder destroy bury rape ground coffin dead die regret suffer")
 GROUPS = _set(
-    "foreigners foreigner immigrants immigrant migrants migrant refugees refugee newcomers women girls gays lesbians homosexuals transgender jews muslims christians hindus blacks whites asians arabs africans mexicans gypsies roma cripples cripple disabled believers folk clans tribes natives people pensioners elderly ausländer flüchtlinge frauen juden muslime étrangers immigrés femmes"
+    "foreigners foreigner poles turks russians albanians romanians indians pakistanis sikhs buddhists catholics protestants syrians somalis nigerians ukrainians hungarians serbs kurds latinos hispanics atheists homeless beggars gay lesbian trans queers jew muslim black immigrants immigrant migrants migrant refugees refugee newcomers women girls gays lesbians homosexuals transgender jews muslims christians hindus blacks whites asians arabs africans mexicans gypsies roma cripples cripple disabled believers folk clans tribes natives people pensioners elderly ausländer flüchtlinge frauen juden muslime étrangers immigrés femmes"
 )
-DEHUMANISING = _set("vermin filth animals animal leeches leech parasites parasite plague rats cockroaches roaches subhuman subhumans trash garbage savages beasts disease infestation pigs dogs dirt scum maggots pest breed")
+DEHUMANISING = _set("vermin filth animals animal leeches leech parasites parasite plague rats cockroaches roaches subhuman subhumans trash garbage savages beasts cancer monkeys apes lice thieves criminals rapists terrorists invaders murderers inferior exterminated eliminated disease infestation pigs dogs dirt scum maggots pest breed")
 SEXUAL = _set(
-    "horny nude nudes naked porn porno xxx sex sexy orgy orgies condoms condom tits tit boobs pussy cock dick penis vagina blowjob handjob fuck fucking fucked cum jerk jerked wank lick masturbate masturbating strip stripping spread wet hard moan suck sucking escort onlyfans uncensored bare topless erotic kinky threesome milf anal nipples cunt bend lust undress cam ass arse butt"
+    "horny nude nudes naked porn porno xxx sex sexy orgy orgies condoms condom tits tit boobs pussy cock dick penis vagina blowjob handjob fuck fucking fucked cum jerk jerked wank lick masturbate masturbating strip stripping spread wet hard moan suck sucking escort onlyfans uncensored bare topless erotic kinky threesome milf anal nipples cunt bend lust undress cam ass arse butt hole clit thighs breasts fap hump slutty aroused fuckable masturbates cums topless threesome"
 )
 THINGS = _set(
     "cache build router server parser segment queue index printer backup deploy compaction lock laptop page code pointers docs terminal script test tests machine computer phone bug database query log logs disk mistake idea question weather bus train palette colour color cast form process parent child dir cellar feeder mistake soundtrack money hike film book podcast match concert puzzle"
@@ -62,7 +66,7 @@ PHRASES: dict[str, re.Pattern] = {
     for k, v in {
         "threat": r"\b(?:i|we|someone|somebody|they) (?:will|'ll|would|am going to|are going to|gonna|should) (?:\w+ ){0,3}(?:kill|smash|break|burn|cut|stab|shoot|beat|hurt|strangle|punch|crush|bury|destroy|make you|put you|find you|get you|end you)\b|watch your back|what happens to you|know where you (?:sit|live|sleep|work)|(?:kill|hang|shoot|hurt) yourself|jump off|jump from|(?:deserve|ought) to be (?:beaten|hurt|shot|killed|hit|slapped)|you(?:'re| are) (?:dead|next)\b|(?:break|smash|cut|burn) (?:your|you) ?(?:legs|face|neck|bones|teeth|house|shed|car|open|fingers|arms)?|bring dich um|crève",
         "dismiss": r"\bget lost\b|\bshut (?:the \w+ )?up\b|\bgo cry\b|\bcrawl back\b|delete your account|(?:nobody|no one|noone) (?:here |really )?(?:likes|loves|wants|would miss|cares about|asked) you|learn to (?:read|write|think)|halt (?:die|deine|dein) (?:klappe|fresse|maul)|\bdégage\b|ferme(?:-| )la|ta gueule|verpiss dich|fuck (?:you|off)|screw you|piss off|go to hell|drop dead|that's all you are|get out of (?:here|my sight)|\bf off\b",
-        "demean": r"ashamed of (?:raising|having|you)|(?:my|the|a) (?:dog|cat|grandma|toddler|kid) (?:codes|writes|thinks|could|can|would)\b|waste of (?:space|air|oxygen|skin)|you (?:are|'re) (?:nothing|a joke|an embarrassment|such a)|you (?:write|code|think|sound|look|smell|talk) like an?\b|what an? (?:\w+ ){0,2}(?:you are)|only an? (?:\w+ ){0,2}would",
+        "demean": r"ashamed of (?:raising|having|you)|(?:my|the|a) (?:dog|cat|grandma|toddler|kid) (?:\w+s|could|can|would)\b|waste of (?:space|air|oxygen|skin)|you (?:are|'re) (?:nothing|a joke|an embarrassment|such a)|you (?:write|code|think|sound|look|smell|talk) like an?\b|what an? (?:\w+ ){0,2}(?:you are)|only an? (?:\w+ ){0,2}would",
         "your_person": r"\b(?:you|your|hey)\b",
         "exclude": r"(?:throw|kick|drive|force|push|get|keep|want) (?:\w+ ){1,4}out\b|\bout,? by force|\bsend (?:\w+ ){1,4}(?:back|home)\b|lock (?:them|\w+) up|(?:should|must) (?:not|never) be (?:let|allowed|permitted|given)|(?:do not|don't) (?:deserve|belong)|never be allowed|(?:no|any) (?:decent )?(?:\w+ )?(?:lets|let|allows) (?:\w+ ){1,4}in\b|rents? to\b|go back to|not welcome|deport|keep (?:\w+ ){1,4}out of|\braus\b|dehors",
         "exterminate": r"let them (?:die|starve|drown|rot)|leave in a coffin|burn (?:down )?(?:the|their) (?:temples?|churches|mosques|synagogues|houses|homes)|wipe (?:them|\w+ \w+) out|round them up|gas (?:them|the)|(?:only|one) good (?:thing|\w+) about|are a burden|get rid of (?:them|the|those|these|all)\b|shoot them|hang them",
@@ -73,7 +77,7 @@ PHRASES: dict[str, re.Pattern] = {
         "of_a_thing": r"\b(?:of an?|for an?) (?:\w+)$|of an? \w+ (?:ate|took|broke|died|crashed|failed|is|was|does|keeps)|\b(?:that|this|the) \w+ of an? ",
         "said_by_others": r"(?:called|calls|calling) (?:me|him|her|us|them|people|someone|newcomers)|reported it|removed a|stop using|the word|don't call|do not call|be kind|reads badly|is on the wiki|was (?:banned|reported|removed)|, good$|report for|not ok to|how can (?:people|someone) say",
         "figurative": r"take my money|kill me\b|(?:dying|die) (?:of|laughing)|scary good|a beast at|killer \w+|(?:beat|kill(?:ed)?|destroyed) (?:you )?(?:by|at) |next game|shoot me (?:the|an?|your)|hard to swallow|of mine\b|\bsorry\b|sucks at|just kill the|killed its|\bholy\b|\bdamn\b|\bbloody\b|the naked|reserved word|colour palette|color palette|breast cancer|age and sex|explicit cast|great tits|tits at the|cock crow|pest control|exterminator|garbage collection|trash the|dumb terminal|nude colou?r|hard (?:drive|disk|to|coded)|naked eye|rats in the|vermin in the",
-        "harmless_group": r"festival|lovely|best bread|pay the same|won the|welcome|equal rights|support for|thank|(?:women|men) (?:and|or) (?:men|women)|celebrate|recipe|helped|invited|history of",
+        "harmless_group": r"festival|lovely|pay the same|won the|welcome|equal rights|support for|thank|(?:women|men) (?:and|or) (?:men|women)|celebrate|recipe|helped|invited|history of",
     }.items()
 }
 _DEMONYM = re.compile(r"\b(?:the|those|these) (?!plans\b|fans\b|scans\b|means\b|cleans\b|loans\b|trans\b|clans\b|pans\b|vans\b|cans\b|beans\b|humans\b|veterans\b|oceans\b)[a-z]{3,}(?:ans|ites|ish|ese)\b")
@@ -219,7 +223,6 @@ def features(sentence: str, context: str = "") -> dict[str, float]:
     """Sparse features of a cleaned sentence; ``context`` is the one before it.
 
     A pattern is searched for only where the words hold a piece it cannot match without.
-    Classes outside ``_CUES`` qualify a cue and count only in a sentence that has one.
     """
     words = sentence.replace(" ,", "").split()
     bag = set(words)
@@ -243,8 +246,6 @@ def features(sentence: str, context: str = "") -> dict[str, float]:
     for k, p in PHRASES.items():
         classes[k] = bool(may & bit[k] and p.search(flat))
     on = [k for k, v in classes.items() if v]
-    if _CUES.isdisjoint(on):
-        return f
     for k in on:
         f[k] = 1.0
     for a, b in _PAIRS:
@@ -271,8 +272,6 @@ _PAIRS = (
     ("insult", "you"), ("insult", "named"), ("insult", "demean"), ("insult", "dismiss"), ("insult_adj", "you"), ("insult", "insult_adj"), ("insult", "thing"), ("harm", "you"), ("threat", "you"), ("dismiss", "you"), ("group", "dehumanising"), ("group", "exclude"), ("group", "essence"), ("group", "exterminate"), ("dehumanising", "essence"),
     ("sexual", "solicit"), ("sexual", "you"), ("sexual", "act"), ("sexual", "ad"), ("sexual", "thing"), ("act", "you"), ("act", "solicit"), ("sexual", "reporting"), ("insult", "reporting"), ("insult", "said_by_others"), ("harm", "figurative"), ("group", "harmless_group"), ("insult", "of_a_thing"), ("sexual", "dismiss"), ("group", "insult"),
 )
-#: Classes that can make a case; the others (addresses, things, quoting, figures of speech) tell nothing by themselves.
-_CUES = _set("insult insult_adj harm group dehumanising sexual threat dismiss demean exclude exterminate essence solicit act ad")
 _SCORED_WORDS = INSULT_NOUNS | SEXUAL | DEHUMANISING | HARM
 
 
@@ -282,34 +281,50 @@ def sentences(text: str) -> list[str]:
 
 # -- model ---------------------------------------------------------------------------------
 
-#: Labelled examples of forms that a sample may lack: kind, severity, message.
-SEEDS = (
-    ("abuse", 1, "you sound like a clueless idiot"), ("abuse", 1, "my cat writes better than you, moron"), ("abuse", 1, "nobody asked you, loser"), ("abuse", 2, "I will break your fingers"), ("abuse", 2, "somebody should hurt you for this"), ("abuse", 2, "hang yourself"),
-    ("abuse", 2, "go and kill yourself"), ("abuse", 1, "Peter is a lying bastard"), ("abuse", 1, "Anna is a useless idiot, end of story"), ("abuse", 1, "crawl back to your cave, creep"), ("abuse", 1, "no one would miss you"), ("abuse", 2, "you deserve to be hit for that commit"), ("abuse", 2, "I hope they will smash your car"),
-    ("abuse", 1, "you are such a coward"), ("abuse", 1, "what a worthless clown you are"), ("abuse", 1, "only an idiot would merge that"), ("abuse", 1, "shut up, you cretin"), ("abuse", 1, "du bist ein Trottel, halt die Fresse"), ("abuse", 1, "quel abruti, dégage"), ("abuse", 2, "come near me and I will cut you open"), ("abuse", 1, "hey moron, learn to write"),
-    ("abuse", 1, "you fat pathetic loser"), ("abuse", 2, "say it once more and I will burn your house down"), ("abuse", 2, "keep going and see what happens to you"), ("abuse", 1, "you lying bitch"), ("abuse", 1, "you piece of shit"), ("abuse", 1, "get out of my sight, filthy bastard"),
-    ("hate", 1, "foreigners should never be allowed to buy houses here"), ("hate", 2, "refugees are parasites"), ("hate", 2, "immigrants are nothing but vermin"), ("hate", 1, "keep migrants out of our town"), ("hate", 1, "gays out, by force if we must"), ("hate", 1, "whoever rents to refugees is as bad as those rats"), ("hate", 1, "another robbery. migrants, obviously"), ("hate", 1, "the Tyrrians, obviously"),
-    ("hate", 1, "jews can't be trusted, it's in their nature"), ("hate", 2, "disabled people are a burden, let them starve"), ("hate", 1, "blood tells, gypsies stay savages"), ("hate", 2, "vermin, all of them"), ("hate", 2, "animals, all of them"), ("hate", 1, "typical, refugees again"), ("hate", 1, "cripples like that should not be allowed into the office"),
-    ("hate", 1, "women belong in the kitchen"), ("hate", 2, "burn the mosques of the newcomers"), ("hate", 1, "arabs do not deserve to live here"), ("hate", 1, "send the Tyrrians home"), ("hate", 2, "the only good thing about jews is when they leave in a coffin"), ("hate", 1, "this village was safe before migrants came"), ("hate", 1, "never trust gypsies"),
-    ("sexual", 2, "send nudes please"), ("sexual", 2, "show me your boobs"), ("sexual", 2, "my cock needs you tonight"), ("sexual", 2, "selling private sex tape, dm me"), ("sexual", 2, "orgy at my place, bring condoms"), ("sexual", 1, "I want to see you naked"), ("sexual", 2, "let me touch myself while you watch"), ("sexual", 1, "wet and ready, come over"), ("sexual", 2, "I masturbate to your photo"),
-    ("sexual", 2, "sit on my lap and spread your legs"), ("sexual", 2, "uncensored porn, link in bio"), ("sexual", 2, "wanna fuck tonight"), ("sexual", 1, "anyone horny tonight? dm me"), ("sexual", 2, "I jerked off thinking of you"), ("sexual", 2, "uncensored Emma naked, link in bio"), ("sexual", 1, "undress for me on cam"), ("sexual", 2, "want to see me touch myself?"), ("sexual", 1, "I touch myself every night"), ("sexual", 1, "want to watch me undress?"), ("abuse", 1, "you stupid pig"), ("abuse", 1, "what a fat donkey"),
-    ("none", 0, "that idiot of a printer ate my page"), ("none", 0, "shut up and take my money"), ("none", 0, "we beat you by 3 points"), ("none", 0, "I hate onions"), ("none", 0, "I hate when the disk is full"), ("none", 0, "shoot me an email before noon"), ("none", 0, "she is a beast at chess"), ("none", 0, "too many meetings, kill me"), ("none", 0, "dying of laughter here"),
-    ("none", 0, "do not call people idiots, be kind"), ("none", 0, "moderators removed a post calling refugees rats"), ("none", 0, "pest control found cockroaches in the kitchen"), ("none", 0, "garbage collection is slow"), ("none", 0, "strip the html from that code"), ("none", 0, "the nude tones fit the page"), ("none", 0, "sexism training is on monday"), ("none", 0, "the list of reserved words has 'naked' in it"), ("none", 0, "great tits at the window"),
-    ("none", 0, "the field sex is missing in the form"), ("none", 0, "women and men pay the same"), ("none", 0, "the refugees won the cup"), ("none", 0, "refugees bake the best bread"), ("none", 0, "migrants festival was lovely"), ("none", 0, "trash the old logs"), ("none", 0, "my hard disk died"), ("none", 0, "it is hard to read"), ("none", 0, "damn, it crashed"), ("none", 0, "this bloody laptop"), ("none", 0, "holy shit, nice"),
-    ("none", 0, "what a dumb idea of mine"), ("none", 0, "the server is a bastard to restart"), ("none", 0, "kill the process"), ("none", 0, "the parent killed the child process"), ("none", 0, "explicit casts everywhere"), ("none", 0, "a rat was found in the cellar"), ("none", 0, "someone called me a moron today"), ("none", 0, "the puzzle is hard, wet weather helps"), ("none", 0, "will you watch the game at my place"), ("none", 0, "you know where the key is"),
-    ("none", 0, "you were right, the old one is dead"), ("none", 0, "call me when you are outside"), ("none", 0, "thank you, you saved the day"), ("none", 0, "can you read the log"), ("none", 0, "old people use the tram too"), ("none", 0, "people in the team are late"), ("none", 0, "my phone died, back at noon"),
-)
+_WORDS = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+
+
+def ngrams(sentence: str) -> list[str]:
+    """Words, pieces of four letters, neighbouring words and words two apart of a cleaned sentence; no list is asked."""
+    words = _WORDS.findall(sentence)
+    out = [f"1:{w}" for w in words]
+    for w in words:
+        if len(w) > 4:
+            out += [f"c:{w[i : i + 4]}" for i in range(len(w) - 3)]
+    ends = ["<", *words, ">"]
+    out += [f"2:{a} {b}" for a, b in zip(ends, ends[1:])]
+    out += [f"3:{a} {b}" for a, b in zip(ends, ends[2:])]
+    return out
+
+
+#: Weight of an n-gram beside a class: many of them fire at once.
+GRAM = 0.3
+#: Weight of a harmless training message: harmless text is far more varied than what is written here.
+HARMLESS = 1.5
+#: N-grams of the training messages are kept if at least so many messages have them.
+LEAST_MESSAGES = 2
+LEAST_PIECES = 6
 
 
 @dataclass
 class Model:
     by_kind: dict[str, CumulativeLink]
-    memory: dict[tuple[str, ...], list[tuple[float, bool]]] = field(default_factory=dict)
+    _seen: dict[tuple[str, ...], tuple[float, ...]] = field(default_factory=dict)
+    _of_word: dict[str, tuple[float, ...]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        names = {n for m in self.by_kind.values() for n in m.weights}
+        of = lambda n, by: tuple(by * m.weights.get(n, 0.0) for m in self.by_kind.values())
+        self._classes = {n: of(n, 1.0) for n in names if n[1:2] != ":" or n[0] == "w"}
+        self._grams = {n: of(n, GRAM) for n in names if n not in self._classes}
+        self._cuts = [m.cuts.tolist() for m in self.by_kind.values()]
 
     def severities(self, text: str | None) -> tuple[list[float], list[bool]]:
-        """Expected severity per kind and whether grade 1 or more is likelier than not."""
-        best = [self.floor[k] for k in KINDS]
-        hit = [False] * len(KINDS)
+        """Expected severity per kind and whether grade 1 or more is likelier than not.
+
+        Every sentence is scored, whether or not a word of it stands in a list.
+        """
+        best, hit = list(self.floor), [False] * len(KINDS)
         if not text:
             return best, hit
         before = ""
@@ -317,38 +332,56 @@ class Model:
             c = clean(s)
             f = features(c, before)
             before = c
-            if f:
-                for i, (expected, likelier) in enumerate(self._of(f)):
-                    best[i] = max(best[i], expected)
-                    hit[i] = hit[i] or likelier
+            key = tuple(f)
+            z = self._seen.get(key)
+            if z is None:
+                if len(self._seen) > 1 << 16:
+                    self._seen.clear()
+                parts = [tuple(v * x for x in self._classes[n]) for n, v in f.items() if n in self._classes]
+                z = self._seen[key] = tuple(map(sum, zip(*parts))) if parts else (0.0,) * len(KINDS)
+            a = self._ngrams(c)
+            for i, cuts in enumerate(self._cuts):
+                x = z[i] + a[i]
+                if x - cuts[0] > -6:
+                    e = sum(1 / (1 + exp(min(35.0, cut - x))) for cut in cuts)
+                    if e > best[i]:
+                        best[i] = e
+                    hit[i] = hit[i] or x > cuts[0]
         return best, hit
 
-    def _of(self, f: dict[str, float]) -> list[tuple[float, bool]]:
-        """Expected severity and hit per kind of a sentence's features, remembered."""
-        key = tuple(f)
-        got = self.memory.get(key)
-        if got is None:
-            if len(self.memory) > 1 << 16:
-                self.memory.clear()
-            tails = [self.by_kind[k].tails(f) for k in KINDS]
-            got = self.memory[key] = [(float(t.sum()), bool(t[0] > 0.5)) for t in tails]
-        return got
+    def _ngrams(self, c: str) -> list[float]:
+        words = _WORDS.findall(c)
+        total = [0.0] * len(KINDS)
+        get = self._grams.get
+        for w in words:
+            x = self._of_word.get(w)
+            if x is None:
+                if len(self._of_word) > 1 << 16:
+                    self._of_word.clear()
+                own = [get(n) for n in ngrams(w) if n[0] in "1c"]
+                own = [o for o in own if o]
+                x = self._of_word[w] = tuple(map(sum, zip(*own))) if own else (0.0,) * len(KINDS)
+            total = [p + q for p, q in zip(total, x)]
+        ends = ["<", *words, ">"]
+        for kind, step in (("2:", 1), ("3:", 2)):
+            for a, b in zip(ends, ends[step:]):
+                if x := get(f"{kind}{a} {b}"):
+                    total = [p + q for p, q in zip(total, x)]
+        return total
 
     @property
-    def floor(self) -> dict[str, float]:
+    def floor(self) -> tuple[float, ...]:
+        """Expected severities of a message that says nothing."""
         if not hasattr(self, "_floor"):
-            self._floor = {k: m.expected({}) for k, m in self.by_kind.items()}
+            self._floor = tuple(m.expected({}) for m in self.by_kind.values())
         return self._floor
 
 
-_SEVERE = {"abuse": ("threat", "harm!"), "hate": ("dehumanising", "exterminate"), "sexual": ("act", "ad")}
-
-
 def fit(sample: DataFrame, msg: str = "msg", kind: str = "kind", order: str = "sample_id") -> Model:
-    """Fit on labelled messages and the seed examples.
+    """Fit on labelled messages and on messages written from templates.
 
-    The labels name a kind, not a severity: a labelled message is severe if it holds a
-    cue of the severe classes.  Rows with another label or a NULL message are left out.
+    The labels name a kind, not a severity: a labelled message tells that grade 1 is reached
+    and nothing about grade 2.  Rows with another label or a NULL message are left out.
     """
     rows = sample.where(F.col(kind).isin("none", *KINDS) & F.col(msg).isNotNull()).select(order, msg, kind).distinct().orderBy(order).limit(MAX_SAMPLE).collect()
     return fit_rows([(r[kind], None, r[msg]) for r in rows])
@@ -359,22 +392,22 @@ def _merged(text: str) -> dict[str, float]:
     before = ""
     for s in sentences(text):
         c = clean(s)
-        for k, v in features(c, before).items():
+        for k, v in [*features(c, before).items(), *((n, GRAM) for n in ngrams(c))]:
             out[k] = max(out.get(k, 0.0), v)
         before = c
     return out
 
 
-def fit_rows(rows: list[tuple[str, int | None, str]]) -> Model:
-    rows = [*rows, *SEEDS]
+def fit_rows(rows: list[tuple[str, int | None, str]], templates: list[tuple[str, int, str]] | None = None) -> Model:
+    rows = [*rows, *(write_out() if templates is None else templates)]
     xs = [_merged(m) for _, _, m in rows]
+    often = Counter(n for x in xs for n in x)
+    xs = [{n: v for n, v in x.items() if often[n] >= (LEAST_MESSAGES if n[:2] != "c:" else LEAST_PIECES)} for x in xs]
+    weights = [HARMLESS if label == "none" else 1.0 for label, _, _ in rows]
     models = {}
     for kind in KINDS:
-        grades = []
-        for (label, severity, _), x in zip(rows, xs):
-            severe = any(c in x for c in _SEVERE[kind])
-            grades.append(0 if label != kind else severity if severity is not None else 2 if severe else 1)
-        models[kind] = CumulativeLink(N_GRADES).fit(xs, grades)
+        grades = [0 if label != kind else severity or UNKNOWN for label, severity, _ in rows]
+        models[kind] = CumulativeLink(N_GRADES).fit(xs, grades, weights)
     return Model(models)
 
 
