@@ -2,11 +2,15 @@
 
 1. Texts become words: letter case, punctuation, spacing and line breaks are
    dropped, words divided at a line end are joined, bracketed interruptions removed.
-2. Every word is canonicalised on its own: numbers, units and names become typed
-   placeholders.  Windows of ``WINDOW`` canonical words are hashed.
+2. Windows of ``WINDOW`` words are hashed twice: as they are, and as templates, in which
+   numbers, units and names are typed placeholders.  A name is a word that its own text
+   capitalises inside a sentence and never writes small, so names of the corpus that no item
+   holds are placeholders too; a text that capitalises its nouns has no names.  A template
+   counts if it holds a placeholder and at least ``LITERALS`` other words.
 3. Corpus windows whose hash occurs among the item windows are hash-joined with them.
-4. The words under the placeholders decide: equal slots are a verbatim leak, a
-   one-to-one renaming of slots is a re-parameterised one, anything else is none.
+4. Equal words are a verbatim leak.  Of templates the words under the placeholders decide: a
+   one-to-one renaming of slots is a re-parameterised leak, if at least ``LEAST`` windows of
+   the document show it; anything else is none.
 
 Step 2 streams over Arrow batches and keeps only windows whose hash an item window
 has, so the join sees leaked passages, not the corpus.  The set of item hashes is
@@ -28,6 +32,10 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.spread import spread
 
 WINDOW = 12
+LITERALS = 6
+LEAST = 3
+#: Share of capitalised words inside sentences above which capitals do not tell names.
+NOUN_CAPITALS = 0.2
 #: Item windows up to which their hashes travel with the tasks (8 bytes each).
 MAX_FILTER = 2_000_000
 
@@ -46,59 +54,65 @@ UNITS = frozenset(
 )
 
 
-def words(text: str | None) -> list[str]:
-    """Words of a text as steps 1 describes; NULL has none."""
+def _plain(text: str | None) -> str:
+    """The text without brackets and with divided words joined."""
     if not text:
-        return []
+        return ""
     if "(" in text or "[" in text:
         before = None
         while before != text:  # nested brackets open from the inside
             before, text = text, _BRACKETS.sub(" ", text)
     if "\n" in text or "\r" in text:
         text = _DIVIDED.sub("", text)
-    if "­" in text:
-        text = text.replace("­", "")
-    return _WORD.findall(text.casefold())
+    return text.replace("\u00ad", "")
+
+
+def words(text: str | None) -> list[str]:
+    """Words of a text as step 1 describes; NULL has none."""
+    return _WORD.findall(_plain(text).casefold())
 
 
-def names_in(text: str | None) -> set[str]:
-    """Words that are capitalised inside a sentence."""
-    return {m.lower() for m in re.findall(r"(?<=[a-z,;] )[A-Z][^\W\d_]{2,}", text or "")}
+_INSIDE = re.compile(r"(?<=[a-zß-ÿ,;] )[^\W\d_]{3,}")
 
 
-def canonical(word: str, names: frozenset[str]) -> str:
+def names_in(text: str) -> set[str]:
+    """Words that a text capitalises inside a sentence and nowhere writes small."""
+    inside = _INSIDE.findall(text)
+    capitals = [w for w in inside if w[0].isupper() and not w.isupper()]
+    if len(capitals) > NOUN_CAPITALS * len(inside) and len(capitals) > 3:
+        return set()
+    small = set(_WORD.findall(text)) if capitals else set()
+    return {w.casefold() for w in capitals if w.lower() not in small}
+
+
+def canonical(word: str) -> str:
     if word in NUMBERS or _DIGIT.search(word):
         return "<number>"
-    if word in UNITS:
-        return "<unit>"
-    return "<name>" if word in names else word
+    return "<unit>" if word in UNITS else word
 
 
 class Windows:
-    """Hashes of the template windows of a text."""
+    """Hashes of the windows of a text, as they are and as templates."""
 
-    def __init__(self, names: frozenset[str] = frozenset(), width: int = WINDOW):
-        self.names, self.width = names, width
-        self._codes: dict[str, int] = {}
+    def __init__(self, width: int = WINDOW):
+        self.width = width
+        self._codes: dict[str, tuple[int, int, bool]] = {}
         with np.errstate(over="ignore"):
             self._powers = np.cumprod(np.full(width, 0x9E3779B97F4A7C15, np.uint64))
 
-    def _code(self, word: str) -> int:
-        h = self._codes.get(word)
-        if h is None:
-            if len(self._codes) > 1 << 20:
+    def _code(self, word: str) -> tuple[int, int, bool]:
+        c = self._codes.get(word)
+        if c is None:
+            if len(self._codes) > 1 << 19:
                 self._codes.clear()
-            h = self._codes[word] = xxhash.xxh64_intdigest(canonical(word, self.names))
-        return h
+            t = canonical(word)
+            c = self._codes[word] = (xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(t, 1), t != word)
+        return c
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_codes": {}}
 
-    def hashes(self, ws: list[str]) -> np.ndarray:
-        n = len(ws) - self.width + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        code = np.fromiter(map(self._code, ws), np.uint64, len(ws))
+    def _rolled(self, code: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
             for j in range(self.width):
@@ -106,8 +120,31 @@ class Windows:
             out ^= out >> np.uint64(29)
         return out.view(np.int64)
 
-    def slots(self, window: list[str]) -> list[str]:
-        return [w for w in window if canonical(w, self.names) != w]
+    def of(self, text: str | None) -> tuple[list[str], set[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Words, names, hashes of all windows, places and hashes of the templates."""
+        text = _plain(text)
+        ws = _WORD.findall(text.casefold())
+        n = len(ws) - self.width + 1
+        none = np.empty(0, np.int64)
+        if n <= 0:
+            return ws, set(), none, none, none
+        names = names_in(text)
+        codes = list(map(self._code, ws))
+        plain = np.fromiter((c[0] for c in codes), np.uint64, len(ws))
+        if names:
+            codes = [_NAME if w in names else c for w, c in zip(ws, codes)]
+        slot = np.fromiter((c[2] for c in codes), np.int64, len(ws))
+        slots = np.convolve(slot, np.ones(self.width, np.int64), "valid")
+        at = np.flatnonzero((slots > 0) & (slots <= self.width - LITERALS))
+        if not len(at):
+            return ws, names, self._rolled(plain, n), none, none
+        return ws, names, self._rolled(plain, n), at, self._rolled(np.fromiter((c[1] for c in codes), np.uint64, len(ws)), n)[at]
+
+    def slots(self, window: list[str], names: set[str]) -> list[str]:
+        return [w for w in window if w in names or canonical(w) != w]
+
+
+_NAME = (0, xxhash.xxh64_intdigest("<name>", 1), True)
 
 
 def _emit(windows: Windows, wanted: np.ndarray | None, id_type: pa.DataType):
@@ -117,22 +154,26 @@ def _emit(windows: Windows, wanted: np.ndarray | None, id_type: pa.DataType):
             bits = 64 - max(10, min(26, int(len(wanted)).bit_length() + 4))
             mask = np.zeros(1 << (64 - bits), bool)
             mask[wanted.view(np.uint64) >> np.uint64(bits)] = True
+
+        def kept(h: np.ndarray) -> np.ndarray:
+            if mask is None:
+                return np.arange(len(h))
+            hits = np.flatnonzero(mask[h.view(np.uint64) >> np.uint64(bits)])
+            if len(hits):
+                at = np.searchsorted(wanted, h[hits])
+                hits = hits[wanted[np.minimum(at, len(wanted) - 1)] == h[hits]]
+            return hits
+
         schema = pa.schema([("id", id_type), ("hash", pa.int64()), ("pos", pa.int64()), ("words", pa.string()), ("slots", pa.list_(pa.string()))])
         for b in batches:
             ids, rows = b.column(0), []
             for i, text in enumerate(b.column(1)):
-                ws = words(text.as_py())
-                h = windows.hashes(ws)
-                if mask is None:
-                    hits = np.arange(len(h))
-                else:
-                    hits = np.flatnonzero(mask[h.view(np.uint64) >> np.uint64(bits)])
-                    if len(hits):
-                        at = np.searchsorted(wanted, h[hits])
-                        hits = hits[wanted[np.minimum(at, len(wanted) - 1)] == h[hits]]
-                for p in hits.tolist():
-                    window = ws[p : p + windows.width]
-                    rows.append((i, int(h[p]), p, " ".join(window), windows.slots(window)))
+                ws, names, plain, at, templates = windows.of(text.as_py())
+                for p in kept(plain).tolist():
+                    rows.append((i, int(plain[p]), p, " ".join(ws[p : p + windows.width]), None))
+                for k in kept(templates).tolist():
+                    window = ws[at[k] : at[k] + windows.width]
+                    rows.append((i, int(templates[k]), int(at[k]), " ".join(window), windows.slots(window, names)))
                 if len(rows) > 20_000:
                     yield _batch(rows, ids, schema)
                     rows = []
@@ -160,11 +201,10 @@ def leaks(corpus: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_i
     A document has at most one row per item; verbatim windows win over others.  Rows
     delivered again count once.  NULL ids or texts, and texts shorter than a window,
     leak nothing; passages shorter than a window cannot be found.  Ids are BIGINT, INT
-    or STRING; columns not named here are ignored.
+    or STRING; columns not named here are ignored.  A window that many documents share is
+    hot in the join only on the corpus side, where adaptive execution splits it.
     """
-    # the items are the held-out set: their names become one lexicon
-    names = frozenset().union(*(names_in(r[0]) for r in items.select(passage).distinct().toLocalIterator()))
-    windows = Windows(names)
+    windows = Windows()
     item_windows = _windows_of(items, item_id, passage, windows, None)
     found = [r[0] for r in item_windows.select("hash").distinct().limit(max_filter + 1).toLocalIterator()]
     wanted = np.sort(np.array(found, np.int64)) if len(found) <= max_filter else None
@@ -173,10 +213,11 @@ def leaks(corpus: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_i
     if wanted is not None and not len(wanted):
         right = right.limit(0)
     j = right.join(left, "hash")
-    exact = F.col("words") == F.col("i_words")
+    exact = F.col("slots").isNull() & F.col("i_slots").isNull() & (F.col("words") == F.col("i_words"))
     pairs = F.arrays_zip(F.col("i_slots").alias("a"), F.col("slots").alias("b"))
     n_pairs = F.size(F.array_distinct(pairs))
-    renamed = (F.size("slots") == F.size("i_slots")) & (F.size("slots") > 0) & (n_pairs == F.size(F.array_distinct("slots"))) & (n_pairs == F.size(F.array_distinct("i_slots")))
-    j = j.where(exact | renamed).groupBy(doc_id, item_id).agg(F.count_distinct(F.when(exact, F.col("pos"))).alias("n_exact"), F.count_distinct("pos").alias("n_all"))
+    renamed = (F.size("slots") == F.size("i_slots")) & (n_pairs == F.size(F.array_distinct("slots"))) & (n_pairs == F.size(F.array_distinct("i_slots"))) & (F.col("words") != F.col("i_words"))
+    j = j.where(exact | renamed).groupBy(doc_id, item_id).agg(F.count_distinct(F.when(exact, F.col("pos"))).alias("n_exact"), F.count_distinct(F.when(renamed, F.col("pos"))).alias("n_renamed"))
     verbatim = F.col("n_exact") > 0
-    return j.select(doc_id, item_id, F.when(verbatim, "verbatim").otherwise("reparameterised").alias("kind"), F.when(verbatim, F.col("n_exact")).otherwise(F.col("n_all")).alias("n_windows"))
+    kind = F.when(verbatim, "verbatim").otherwise("reparameterised").alias("kind")
+    return j.where(verbatim | (F.col("n_renamed") >= LEAST)).select(doc_id, item_id, kind, F.when(verbatim, F.col("n_exact")).otherwise(F.col("n_renamed")).alias("n_windows"))

@@ -38,8 +38,12 @@ _ZERO_WIDTH = dict.fromkeys("​‌‍⁠﻿­")
 DIGIT_WORDS = {"zero": "0", "oh": "0", "nought": "0", "null": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9"}
 _DIGIT_RUN = re.compile(r"\b(?:plus[ ,-]+)?(?:(?:double |triple )?(?:%s)\b[ -]*){5,}" % "|".join(DIGIT_WORDS), re.I)
 _DIGIT_WORD = re.compile(r"\b(plus|double|triple|%s)\b" % "|".join(DIGIT_WORDS), re.I)
-_AT = re.compile(r"\s*(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*at\s*>)\s*|(?<=[\w])\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)+)|(?<=[\w])\s+@\s+(?=[\w-]+\s*(?:\.|dot\b))", re.I)
-_DOT = re.compile(r"\s*(?:\(\s*(?:dot|\.)\s*\)|\[\s*(?:dot|\.)\s*\]|\{\s*(?:dot|\.)\s*\})\s*|(?<=[\w])\s+dot\s+(?=[\w-])", re.I)
+_AT = re.compile(r"\s*(?:\(\s*(?:at|@)\s*\)|\[\s*(?:at|@)\s*\]|\{\s*(?:at|@)\s*\}|<\s*at\s*>)\s*|(?<=[\w])\s+at\s+(?=[\w-]+(?:\s+dot\s+[\w-]+)+)|(?<=[\w])\s+@\s+(?=[\w-]+\s*(?:\.|dot\b))|(?<=[A-Za-z0-9])_at_(?=[A-Za-z0-9-]+(?:_dot_|\.)[A-Za-z])", re.I)
+#: "jane at corp.example": a word that is no verb or noun of place, and a domain.
+_AT_DOMAIN = re.compile(r"(?<![\w.@-])(?!(?:%s)\s)([\w.+-]*[A-Za-z][\w.+-]*)(\s+at\s+)(?=(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}\b(?![./]\w))" % "look|looking|looked|meet|me|us|it|them|him|her|you|is|are|was|were|be|been|am|site|page|shop|store|blog|docs|available|hosted|hosting|works|working|work|see|seen|found|find|stay|arrive|live|lives|and|or|not|only|here|there|up|out|down|read|online|buy|bought|sold|sell|listed|published|posted|register|registered|sign|login|log|click|visit|more|info|details|start|started|stop|point|points|pointed|server|host|website|forum|wiki|archive|account|order|ordered|download|downloads|free|now|today|again|up-to-date|service|sale", re.I)
+#: Letters that are spaced out in front of an at sign.
+_SPACED_AT = re.compile(r"(?<!\w)(?<!\b\w )((?:[A-Za-z0-9][ ]){2,40}[A-Za-z0-9])(?=[ ]?(?:@|[(\[{]\s*(?:at|@)))")
+_DOT = re.compile(r"\s*(?:\(\s*(?:dot|\.)\s*\)|\[\s*(?:dot|\.)\s*\]|\{\s*(?:dot|\.)\s*\})\s*|(?<=[\w])\s+dot\s+(?=[\w-])|(?<=[A-Za-z0-9])_dot_(?=[A-Za-z0-9])", re.I)
 
 Spans = list[tuple[int, int]]
 
@@ -106,6 +110,11 @@ def normalise(text: str) -> tuple[str, Spans | None]:
     # each transducer runs where its own pattern matches
     if _DIGIT_RUN.search(text):
         text, spans = _digits(text, spans or _identity(text))
+    if ("@" in text or "at" in text) and _SPACED_AT.search(text):
+        edits = [(m.start(), m.end(), [(text[i], i, i + 1) for i in range(m.start(), m.end(1), 2)]) for m in _SPACED_AT.finditer(text)]
+        text, spans = _replace(text, spans or _identity(text), edits)
+    if " at " in text and (hits := list(_AT_DOMAIN.finditer(text))):
+        text, spans = _replace(text, spans or _identity(text), [(*m.span(2), [("@", *m.span(2))]) for m in hits])
     if _AT.search(text):
         text, spans = _signs(text, spans or _identity(text), _AT, "@")
     if "@" in text and _DOT.search(text):
@@ -123,7 +132,10 @@ _PHONES = (
     re.compile(r"(?<![\w.,/+-])0\d{9,11}(?![\w]|[.,/-]\d)"),
     re.compile(r"(?<![\w.,/+-])(?:1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w]|[.,/-]\d)"),
 )
-_PHONE_WORD = re.compile(r"(?<![A-Za-z])(?:tel|phone|cell|mobile|whatsapp|call|ring|text|fax|fon)[a-z]{0,3}[ _.:=-]{0,3}(?:me on |is |no\.? ?|number )?(\+?\d{9,13})(?!\d)", re.I)
+_PHONE_WORD = re.compile(r"(?<![A-Za-z])(?:tel|phone|cell|mobile|whatsapp|call|ring|text|fax|fon)[a-z]{0,3}[ _.:=-]{0,3}(?:me on |me at |me |us on |us at |us |on |at |is |no\.? ?|number |nr\.? ?)?(\+?\d{9,13}(?!\d)|\d{7,8}(?!\w|[.,:/-]\d)|\d{3,4}[ ./-]\d{3,4}(?:[ ./-]\d{2,4})?(?!\w|[.,:/-]\d))", re.I)
+_BARE = re.compile(r"(?<![\w.,:/-])\+?\d{7,13}(?!\w)")
+#: Bank accounts are no kind; they are covered so that no part of one is taken for a phone number.
+_ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
 
 _IDS = (
     re.compile(r"(?<!\w)[A-Za-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Da-d](?!\w)"),
@@ -209,10 +221,77 @@ def _names(text: str) -> list[tuple[int, int]]:
     return found
 
 
+#: What stands before or after a person, before a place, and in names that are no persons'.
+_PERSON_BEFORE = frozenset("ask asked asking tell told met meet meeting call called phone ring email mailed mail cc thank thanks dear hi hello hey with and by from for of is was has does did to contact contacted named name name's colleague friend neighbour neighbor boss manager teacher doctor nurse lawyer author customer client patient brother sister cousin uncle aunt husband wife son daughter partner regards signed cheers saw know knows knew owe paid invited remind reminded please let says said that because where who".split())
+_PERSON_AFTER = frozenset("said says say wrote writes will would is was has had can could should fixed asked called calls lives lived works worked told thinks thought knows knew wants wanted sent signed joined left moved married died born won bought sold owes needs likes broke brought brings came comes went and who whose about's".split())
+_PLACE_BEFORE = frozenset("in at near around through towards visit visited across via outside inside behind".split())
+_NO_PERSON = frozenset(
+    "bakery brewery foundry mill mills works pharmacy clinic garage studio studios shop store stores library gallery cinema theater dairy farm farms logistics systems software solutions services partners holdings industries electronics motors foods books travel insurance energy media design sons brothers bros ltd gmbh inc corporation llc plc ag kg corp co company group bank club court hall house school university college hospital church station airport park bridge lake mount river street road lane avenue square tower museum theatre hotel inn bar cafe restaurant market centre center press news times journal institute association society union party council parliament ministry department office team league cup festival city town county valley island islands bay beach hill forest castle north south east west northern southern eastern western new old saint st port upper lower great little royal national united general central grand holy red green blue black white monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december english german french spanish italian dutch polish internet windows linux python java spark chrome google"
+    .split()
+)
+#: Words that begin a sentence with a capital and are no given names.
+_STARTERS = frozenset(
+    "i the a an and but or so if when while where what who whose which why how is are was were do does did can could will would shall should may might must have has had ask tell call ring text mail meet send ship give take bring see look watch read check thanks thank dear hi hello hey please sorry yes no not never always today tomorrow yesterday now then here there this that these those my your his her our their its it he she we you they in on at by for from with of to as about after before because since until half main new old good bad great nice happy last next first version page order error host serial isbn invoice loved lovely found lost anyone anybody someone nobody everyone somebody ok okay lol honestly listen oh well just only also still even maybe perhaps let say says".split()
+)
+_GERMAN = frozenset("der die das den dem ein eine und ist sind nicht ich du er sie wir ihr wer wo wann wie kann können hat haben mit von zu im am auf für bitte heute morgen le la les un une et est pas je tu il elle nous vous qui où avec pour dans sur".split())
+_CAP_PAIR = re.compile(r"[^\W\d_][a-zß-ÿ'’-]+ (?:(?:van|von|de|der|den|del|di|da|dos|la|le|el|al|bin|ben) |[A-Z]\. ?)?[A-ZÀ-Þ][a-zß-ÿ]")
+_PARTICLES = frozenset("van von de der den del di da dos la le el al bin ben".split())
+
+
+def _capitalised(word: str) -> bool:
+    return word[:1].isupper() and len(word) > 1 and any(c.islower() for c in word)
+
+
+def _pairs(text: str) -> list[tuple[int, int]]:
+    """Two to four capitalised words in a row that stand where a person's name stands; no list of names is needed."""
+    tokens = list(_TOKEN.finditer(text))
+    words = [t[0] for t in tokens]
+    foreign = not _GERMAN.isdisjoint(words)  # every noun of such a text may be capitalised
+    found, k = [], 0
+    while k < len(tokens):
+        if not _capitalised(words[k]):
+            k += 1
+            continue
+        end = k
+        while end + 1 < len(tokens) and text[tokens[end].end() : tokens[end + 1].start()] in (" ", ". ") and (_capitalised(words[end + 1]) or len(words[end + 1]) == 1 and words[end + 1].isupper() or words[end + 1] in _PARTICLES and end > k - 1):
+            if text[tokens[end].end()] == "." and len(words[end]) > 1:
+                break
+            end += 1
+        first, last = k, end
+        k = end + 1
+        while last > first and not _capitalised(words[last]):
+            last -= 1
+        before = text[max(0, tokens[first].start() - 2) : tokens[first].start()]
+        starts = not before.strip() or before.strip()[-1:] in ".!?:…" or "\n" in before
+        if starts and words[first].lower() in _STARTERS and words[first].lower() not in GIVEN:
+            first += 1
+            starts = False
+        if not 1 <= last - first <= 3 or not _capitalised(words[first]):
+            continue
+        low = [w.lower() for w in words[first : last + 1]]
+        prev = words[first - 1].lower() if first and text[tokens[first - 1].end() : tokens[first].start()] == " " else ""
+        after = words[last + 1].lower() if last + 1 < len(tokens) and text[tokens[last].end() : tokens[last + 1].start()] in (" ", "'", "’") else ""
+        if not _NO_PERSON.isdisjoint(low) or after in _NO_PERSON or low[-1] in _STREET_WORDS or any(w in _STOP_WORDS for w in low) or text[tokens[last].end() : tokens[last].end() + 2] in (" &", "@"):
+            continue
+        score = 1.0 if not foreign else 0.0
+        score += 1.5 * (prev in _PERSON_BEFORE and not starts) + (after in _PERSON_AFTER or after == "s") - 2.0 * (prev in _PLACE_BEFORE)
+        score += 2.0 * (low[0] in GIVEN) + 1.0 * (low[-1] in SURNAMES or bool(_ENDING.search(low[-1])))
+        if score >= 2.0:
+            found.append((tokens[first].start(), tokens[last].end()))
+    return found
+
+
+_STOP_WORDS = frozenset(_STOP.split("|"))
 _NAME_WORDS = GIVEN | frozenset(_TITLE[3:-1].split("|"))
 _INTERESTING = _NAME_WORDS | _STREET_WORDS
 
 
+def _is_account(text: str) -> bool:
+    """Whether the check digits of an international account number hold."""
+    t = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every identifier, in source offsets and order, not overlapping."""
     norm, spans = normalise(text)
@@ -228,10 +307,14 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     if "@" in norm:
         take("email", [m.span() for m in _EMAIL.finditer(norm)])
     digits = sum(map(norm.count, "0123456789"))
-    if digits >= 8:
+    if digits >= 12:
+        for m in _ACCOUNT.finditer(norm):
+            if _is_account(m[0]):
+                norm = norm[: m.start()] + "\0" * len(m[0]) + norm[m.end() :]
+    if digits >= 7:
         for p in _PHONES:
             take("phone", [m.span() for m in p.finditer(norm) if 8 <= sum(map(str.isdigit, m[0])) <= 15])
-        take("phone", [m.span(1) for m in _PHONE_WORD.finditer(norm)])
+        take("phone", [m.span(1) for m in _PHONE_WORD.finditer(norm) if sum(map(str.isdigit, m[1])) >= 7])
     if digits >= 6:
         for p in _IDS:
             take("id_number", [m.span() for m in p.finditer(norm) if sum(map(str.isdigit, m[0])) >= 6])
@@ -246,6 +329,11 @@ def detect(text: str) -> list[tuple[str, int, int]]:
             take("street_address", [m.span() for m in _STREET_POST.finditer(norm)])
     if not known.isdisjoint(_NAME_WORDS) or "." in norm and _INITIALS.search(norm):
         take("person_name", _names(norm))
+    if _CAP_PAIR.search(norm):
+        take("person_name", _pairs(norm))
+    if spans is not None:
+        # seven digits or more, spelled out in a row, and no other kind of number
+        take("phone", [m.span() for m in _BARE.finditer(norm) if text[spans[m.start()][0]].isalpha() and text[spans[m.end() - 1][0]].isalpha()])
     found.sort(key=lambda f: f[1])
     if spans is not None:
         found = [(k, spans[a][0], spans[b - 1][1]) for k, a, b in found]

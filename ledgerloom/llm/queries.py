@@ -100,5 +100,19 @@ QUERIES = {
     for f in (p2_found, p2_scores, p2_rates, p4_found, p4_redacted, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_levels, p9_profile)
 }
 
+_UNBRACKETED = r"regexp_replace(TEXT, '\([^()]*\)|\[[^\[\]]*\]', ' ', 'g')"
+_WORDS = r"regexp_extract_all(lower(replace(regexp_replace(TEXT, '(\pL)[-‐\x{00AD}][ \t]*(\r\n|\r|\n)\s*(\pL)', '\1\3', 'g'), chr(173), '')), '[\pL\pN]+')"
+
+
+def _windows_sql(id_col: str, text: str, tab: str) -> str:
+    bare = text
+    for _ in range(4):  # nested brackets
+        bare = _UNBRACKETED.replace("TEXT", bare)
+    ws = f"SELECT DISTINCT {id_col}, {_WORDS.replace('TEXT', bare)} AS ws FROM {tab} WHERE {id_col} IS NOT NULL"
+    return f"SELECT DISTINCT {id_col}, array_to_string(ws[p:p + 11], ' ') AS w FROM (SELECT {id_col}, ws, unnest(range(1, len(ws) - 10)) AS p FROM ({ws}) a) b"
+
+
 #: Trained models, tokenizers and transducers have no SQL; brute force and held-out data test them.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_windows_sql('doc_id', 'text', 'documents')}) d JOIN ({_windows_sql('item_id', 'passage', 'eval_item')}) i USING (w)",
+}

@@ -42,10 +42,47 @@ def test_disguised_and_partial_copies(spark):
     assert got[1, 103] == "verbatim" and (8, 100) not in got and not any(i in (101, 102) for _, i in got)
 
 
+ITEMS = [
+    "By noon Alice had sold 12 crates of pears to Robert, and Robert asked Alice whether 30 pounds were too much for the lot",
+    "The ferry that Martha owned carried 7 goats over the river when Martha told Edwin that 15 more were waiting near the mill",
+    "In that year the guild chose Harriet to weigh 40 sacks of barley, although Harriet feared that Conrad had counted only 38 of them",
+]
+
+
+def renamed(text, rng):
+    """The text with other names and numbers, the same for the same."""
+    new = {}
+    fresh = iter(rng.sample("Zoe Hamish Ottoline Barnaby Xanthe Leopold Mireille Torquil".split(), 8))
+    return " ".join(new.setdefault(w, next(fresh) + w[len(w.rstrip(",.")) :]) if (c := w.rstrip(",.")) in {"Alice", "Robert", "Martha", "Edwin", "Harriet", "Conrad"} and not any(k.rstrip(",.") == c for k in new) else next((v.rstrip(",.") + w[len(c) :] for k, v in new.items() if k.rstrip(",.") == c), str(rng.randrange(50, 99)) if w.isdigit() else w) for w in text.split())
+
+
+def test_fresh_names_and_numbers(spark):
+    """Precision and recall of re-parameterised leaks among as many other texts with names and numbers."""
+    rng = random.Random(3)
+    docs, want = [], set()
+    for d in range(30):
+        i = d % 3
+        docs.append((d, "Some words stand before it. " + renamed(ITEMS[i], rng) + ". And some after."))
+        want.add((d, i))
+    for d in range(100, 130):
+        w = ITEMS[d % 3].split()
+        rng.shuffle(w)
+        docs.append((d, "It is said that " + " ".join(w)))
+    got = {k for k, v in found(spark, docs, list(enumerate(ITEMS))).items() if v == "reparameterised"}
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+
+
 def test_slots(spark):
-    passage = "the old ferry carried 12 crates and 30 barrels across the wide river"
+    passage = "the old ferry carried 12 crates and 30 barrels across the wide river towards an empty town"
     docs = [(1, passage.replace("12", "77").replace("30", "41")), (2, passage.replace("12", "77").replace("30", "77")), (3, passage)]
     assert found(spark, docs, [(5, passage)]) == {(1, 5): "reparameterised", (3, 5): "verbatim"}
+    # placeholders alone are no template
+    assert found(spark, [(1, " ".join(map(str, range(20))))], [(5, " ".join(map(str, range(30, 50))))]) == {}
+
+
+def test_names_are_told_by_their_text():
+    assert leak.names_in("Then Zoe met Hamish at the lake, and the Lake froze") == {"zoe", "hamish"}
+    assert leak.names_in("gestern hat der Müller dem Bauern das Korn und die Säcke gebracht") == set()
 
 
 def test_against_brute_force_with_and_without_the_filter(spark):
@@ -67,11 +104,11 @@ def test_against_brute_force_with_and_without_the_filter(spark):
         assert got == want and want
 
 
-def test_hashes_match_a_plain_sum():
+def test_hashes_do_not_depend_on_the_place():
     w = leak.Windows()
-    ws = "a b c d e f g h i j k l m".split()
-    assert len(w.hashes(ws)) == 2 and len(w.hashes(ws[:11])) == 0
-    assert w.hashes(ws)[0] == leak.Windows().hashes(ws[:12])[0] and len(np.unique(w.hashes(ws))) == 2
+    ws = "a b c d e f g h i j k l m"
+    assert len(w.of(ws)[2]) == 2 and len(w.of(ws[:21])[2]) == 0
+    assert w.of(ws)[2][0] == leak.Windows().of(ws[:23])[2][0] and len(np.unique(w.of(ws)[2])) == 2
 
 
 def test_empty_and_very_long(spark):

@@ -132,3 +132,33 @@ def test_held_out_generated_messages():
 )
 def test_every_form_of_the_transducers_is_read(text, kind, span):
     assert (kind, span) in kinds(text)
+
+
+#: Names that stand in no list, and other capitalised pairs.
+UNLISTED_NAMES = "could you ask Katarzyna Wójcik to join|Ravi Subramanian wrote the tests|lunch with Ingeborg Halvorsen and two others|the keys are with Ousmane Traoré|Yuki Tanaka has the slides|the memo was signed by Ana Lucía Mendoza|met Bartholomew Quigley at the gate|tell Hyun-woo Park we are late|my neighbour Zeynep Yıldız called|Callum Fraser is out today|the parcel is for Temitope Adeyemi|a talk by Noémie Lefebvre was good|we owe Gustavo Paredes an answer|cc Marisol Etxeberria please|Lindiwe Nkosi will open the door|did Torvald Aasen reply|thanks to Oksana Hrytsenko for the fix|Malik Abernathy broke the build|the seat of Philippa Cholmondeley is free|our teacher Dr. Xiulan Feng is ill"
+NO_NAMES = "we met in New Haven on Monday|the Green Party won|ask Deutsche Bank about it|the Acme Corporation called|it rained in Kuala Lumpur today|read War and Peace again|the North Sea is cold|Happy Birthday to all|the Eiffel Tower is closed|we use Apache Kafka here|bring Earl Grey please|Silicon Valley is far|the Black Forest is near|Merry Christmas to you|the Premier League starts|Good Morning everyone|a trip to Costa Rica|Visual Studio has crashed|the Red Cross called|watch Star Wars with us"
+
+
+def test_names_by_context_and_shape():
+    """Recall on persons none of whose names is listed, false alarms on places, firms and titles."""
+    named = lambda t: any(k == "person_name" for k, _, _ in pii.detect(t))
+    assert sum(map(named, UNLISTED_NAMES.split("|"))) >= 18
+    assert sum(map(named, NO_NAMES.split("|"))) <= 2
+
+
+@pytest.mark.parametrize("name", "Wei Zhang|Fatima Hassan|Sanjay Gupta|Nguyen Thi Mai|Kwame Mensah|Giulia Bianchi|Dmitri Volkov|Chloe Bennett|Aisha Diallo|Tom Reed|João Pereira|Siobhan Murphy|Peter Novak|Mr Novak|Anna Kowalska".split("|"))
+def test_whole_names_are_covered(name):
+    for form in ("please ask {} about the keys", "{} will bring the keys", "the report by {} is out"):
+        assert pii.redact_text(form.format(name)) == form.format("<NAME>")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("call five five five eight five two five five five two", "call <PHONE>"), ("null sechs drei zwei vier fünf sieben neun zwei", "<PHONE>"), ("call me on 555 0114", "call me on <PHONE>"), ("ring 5550114 now", "ring <PHONE> now"),
+        ("jane at corp.example", "<EMAIL>"), ("look at corp.example", "look at corp.example"), ("jane_at_corp_dot_example", "<EMAIL>"), ("write to j a n e @ corp.example", "write to <EMAIL>"),
+        ("my IBAN is DE89 3704 0044 0532 0130 00", "my IBAN is DE89 3704 0044 0532 0130 00"), ("order 5550114 is late", "order 5550114 is late"),
+    ],
+)
+def test_disguises_and_near_misses(text, want):
+    assert pii.redact_text(text) == want
