@@ -79,7 +79,7 @@ def names_in(text: str) -> set[str]:
     """Words that a text capitalises inside a sentence and nowhere writes small."""
     inside = _INSIDE.findall(text)
     capitals = [w for w in inside if w[0].isupper() and not w.isupper()]
-    if len(capitals) > NOUN_CAPITALS * len(inside) and len(capitals) > 3:
+    if len(capitals) > NOUN_CAPITALS * len(inside) and len(set(capitals)) > 4:
         return set()
     small = set(_WORD.findall(text)) if capitals else set()
     return {w.casefold() for w in capitals if w.lower() not in small}

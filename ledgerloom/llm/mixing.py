@@ -4,24 +4,26 @@ Weights come from temperature mixing: the natural share q of a source is exponen
 against its target share t, ``w ~ t * (q / t) ** x`` (uniform targets give the usual
 ``q ** x``).  x = 0 is the target, x = 1 the natural mixture; x is bisected to the
 smallest value at which no source would have to be repeated more often than allowed.
-Sources that miss their share even at x = 0 are pinned to all they can give, and what
-they leave open is divided among the others.  The weights times the budget are realised
-as block permutations: a source's documents in hash order, once per repetition, the last
-block cut where the budget is spent.
-
-Token counts are sums per source, combined map-side.  The running token sum that cuts a
-block is taken over hash buckets first and inside a bucket second, so a source that holds
-a third of the corpus is spread over ``BUCKETS`` tasks.
+Sources that are over their limit even at x = 0 cannot reach their share: they are pinned to
+all they can give, and what they leave open is divided among the others.  The weights times
+the budget are realised as block permutations: a block is all documents of a source in an
+order of its own, one block per repetition, the last one cut where the budget is spent.
+
+Token counts are sums per source, combined map-side.  Places in a block and the running
+token sum that cuts it are taken over hash buckets first and inside a bucket second, so a
+source that holds a third of the corpus is spread over ``BUCKETS`` tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -66,12 +68,16 @@ _counters: dict[str, TokenCounter] = {}
 
 def _counter(path: str) -> TokenCounter:
     if path not in _counters:
-        _counters[path] = TokenCounter(path)
+        sent = SparkFiles.get(os.path.basename(path))
+        _counters[path] = TokenCounter(sent if os.path.exists(sent) else path)
     return _counters[path]
 
 
 def n_tokens(text: Column, path: str = TOKENIZER) -> Column:
-    """Number of tokens of a text; NULL has none."""
+    """Number of tokens of a text; NULL has none.  The driver sends the vocabulary to the executors."""
+    sc = SparkSession.active().sparkContext
+    if os.path.abspath(path) not in map(os.path.abspath, (f.removeprefix("file:") for f in sc.listFiles)):
+        sc.addFile(path)
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = _counter(path)
@@ -101,12 +107,17 @@ def weights(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budge
     """
     budget = sum(tokens.values()) if budget is None else budget
     most = {s: tokens.get(s, 0) * max(0, r) for s, (_, r) in targets.items()}
-    short = {s for s, (t, _) in targets.items() if most[s] < t * budget}
     if not budget:
-        return [SourcePlan(s, tokens.get(s, 0), t, r, 0.0, 0.0, s not in short) for s, (t, r) in targets.items()]
-    w = {s: most[s] / budget for s in short}
-    open_share = 1.0 - sum(w.values())
-    free = {s: t for s, (t, _) in targets.items() if s not in short and t > 0 and most[s] > 0}
+        return [SourcePlan(s, tokens.get(s, 0), t, r, 0.0, 0.0, True) for s, (t, r) in targets.items()]
+    w: dict[str, float] = {}
+    open_share = 1.0
+    free = {s: t for s, (t, _) in targets.items() if t > 0}
+    # exponent 0 asks every source for its share: who cannot give it is pinned
+    short = {s for s, t in free.items() if t * budget > most[s]}
+    for s in short:
+        w[s] = most[s] / budget
+        open_share -= w[s]
+        del free[s]
     while free and open_share > 1e-12:
         total = sum(tokens[s] for s in free)
 
@@ -160,32 +171,38 @@ def plan_frame(spark, plans: Sequence[SourcePlan]) -> DataFrame:
 
 
 def realise(sizes: DataFrame, plans: Sequence[SourcePlan], seed: int = 0) -> DataFrame:
-    """The mixture: (doc_id, source, tokens, copies), copies up to max_repeat.
+    """The mixture: (doc_id, source, tokens, block, position), one row per use of a document.
 
-    A source with a budget of b tokens gives floor(b / tokens) whole blocks and, in
-    hash order, the documents of one more block as long as they fit into the rest.
+    A source with a budget of b tokens gives floor(b / tokens) whole blocks and, of one
+    more, the first documents as long as they fit into the rest.  Every block has an order
+    of its own; positions count from 0.  A document stands in a block once at most, so
+    it is used as often as its source has blocks, never more than max_repeat times.
     """
     spark = sizes.sparkSession
     rows = []
     for p in plans:
         b = p.amount + 1e-6
         whole = min(int(b // p.tokens) if p.tokens else 0, p.max_repeat)
-        rows.append((p.source, whole, b - whole * p.tokens if whole < p.max_repeat else 0.0))
+        rows.append((p.source, whole, b - whole * p.tokens if whole < p.max_repeat else -1.0))
     per = spark.createDataFrame(rows, "source string, whole int, rest double")
     # one row per source: bounded by the target table that the driver read
-    d = sizes.join(F.broadcast(per), "source").withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    bucket_sum = d.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
-    along = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bucket_sum.select("source", "bucket", F.coalesce(F.sum("t").over(along), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("upto", F.sum("tokens").over(inside)).join(starts, ["source", "bucket"])
-    copies = F.col("whole") + (F.col("start") + F.col("upto") <= F.col("rest")).cast("int")
-    return d.select("doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
+    d = sizes.join(F.broadcast(per), "source").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    d = d.where("block < whole OR rest >= 0").withColumn("h", F.xxhash64("doc_id", "block", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    of = ["source", "block"]
+    along = Window.partitionBy(*of).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*of, "bucket").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+    before = lambda c: F.coalesce(F.sum(c).over(along), F.lit(0))
+    starts = sums.select(*of, "bucket", before("t").alias("t_start"), before("n").alias("n_start"))
+    inside = Window.partitionBy(*of, "bucket").orderBy("h", "doc_id")
+    upto = F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    d = d.withColumns({"upto": upto, "at": F.row_number().over(inside) - 1}).join(starts, [*of, "bucket"])
+    d = d.where((F.col("block") < F.col("whole")) | (F.col("t_start") + F.col("upto") <= F.col("rest")))
+    return d.select("doc_id", "source", "tokens", "block", (F.col("n_start") + F.col("at")).alias("position"))
 
 
 def shares(mixture: DataFrame, plans: Sequence[SourcePlan]) -> DataFrame:
     """Target, planned and actual share, tokens and documents of every source."""
-    got = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("copies").alias("most_copies"))
+    got = mixture.groupBy("source").agg(F.sum("tokens").alias("mixed_tokens"), F.count_if(F.col("block") == 0).alias("n_docs"), (F.max("block") + 1).alias("most_copies"))
     out = plan_frame(mixture.sparkSession, plans).join(got, "source", "left").fillna(0, ["mixed_tokens", "n_docs", "most_copies"])
     total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))  # one row per source
     return out.withColumn("actual_share", F.when(total > 0, F.col("mixed_tokens") / total).otherwise(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import leak, mixing, moderation, pii, reading
+from ledgerloom.sources.shared import fresh
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,13 +55,21 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.SourcePlan]]:
-    sizes = mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    """Sizes, counted once and written, and the plan."""
+    sizes = _sizes(spark, sf_dir)
+    sizes.write.parquet(path := fresh(spark, "sizes"))
+    sizes = spark.read.schema(sizes.schema).parquet(path)
     return sizes, mixing.plan(sizes, mixing.read_targets(table(spark, sf_dir, "mix_target")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, plans = _mix(spark, sf_dir)
+    """Sources that the solver pins."""
+    plans = mixing.plan(_sizes(spark, sf_dir), mixing.read_targets(table(spark, sf_dir, "mix_target")))
     return mixing.plan_frame(spark, plans).where("NOT reachable").select("source")
 
 
@@ -95,9 +104,14 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("grade").alias("mean_grade"), *[F.count_if(F.col("band") == b).alias(f"n_{b}") for b in reading.BANDS])
 
 
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out passages graded right, per group of kin passages and band."""
+    return reading.validation(spark, reading.fit(table(spark, sf_dir, "reading_sample")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_scores, p2_rates, p4_found, p4_redacted, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_levels, p9_profile)
+    for f in (p2_found, p2_scores, p2_rates, p4_found, p4_redacted, p7_found, p7_leaks, p8_found, p8_mixture, p8_shares, p9_found, p9_levels, p9_profile, p9_validation)
 }
 
 _UNBRACKETED = r"regexp_replace(TEXT, '\([^()]*\)|\[[^\[\]]*\]', ' ', 'g')"

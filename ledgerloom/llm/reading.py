@@ -1,8 +1,8 @@
 """Reading level of documents on the scale of a graded sample.
 
 Boosted regression trees over distributions of length, vocabulary, syntax and cohesion
-predict a grade (0 plain, 1 middle, 2 demanding).  Out-of-fold predictions of the sample
-give an isotonic calibration, which is applied to every document.  Fitting takes at most
+predict a grade (0 plain, 1 middle, 2 demanding).  Predictions for sources that were held
+out give an isotonic calibration, which is applied to every document.  Fitting takes at most
 ``MAX_SAMPLE`` graded passages on the driver; scoring is one pass over Arrow batches and
 reads whole texts.
 """
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.boosting import Boosted, isotonic
@@ -124,27 +124,63 @@ def features(text: str | None) -> list[float] | None:
 class ReadingModel:
     trees: Boosted
     knots: tuple[np.ndarray, np.ndarray]
-    oof_accuracy: float
-    oof_rmse: float
+    #: Per passage of the sample: group, band number, grade by a model and a calibration that did not see its fold.
+    held_out: list[tuple[str, int, float]]
 
     def grade(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.trees.predict(x), *self.knots)
 
 
-def fit(sample: DataFrame, text: str = "text", band: str = "band", order: str = "sample_id") -> ReadingModel:
-    """Fit on graded passages; rows with another band or without words are left out."""
-    rows = sample.where(F.col(band).isin(*BANDS) & F.col(text).isNotNull()).select(order, text, band).distinct().orderBy(order).limit(MAX_SAMPLE).collect()
-    pairs = [(f, BANDS.index(r[band])) for r in rows if (f := features(r[text])) is not None]
-    if len(pairs) < 2 * FOLDS:
-        raise ValueError(f"{len(pairs)} graded passages are too few")
-    x, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs], float)
-    fold = np.random.default_rng(11).permutation(len(y)) % FOLDS
-    oof = np.empty(len(y))
+def _kin(texts: list[str]) -> list[str]:
+    """Groups of passages that share five words in a row, directly or through others."""
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    first: dict[tuple[str, ...], int] = {}
+    for i, t in enumerate(texts):
+        ws = _WORD.findall(t.lower())
+        for j in range(len(ws) - 4):
+            other = first.setdefault(tuple(ws[j : j + 5]), i)
+            root[find(i)] = find(other)
+    return [str(find(i)) for i in range(len(texts))]
+
+
+def fit(sample: DataFrame, text: str = "text", band: str = "band", order: str = "sample_id", source: str | None = None) -> ReadingModel:
+    """Fit on graded passages; rows with another band or without words are left out.
+
+    Validation holds out whole sources.  Where the sample names none, passages that share
+    wording count as one source.  The calibration of a fold comes from the other folds.
+    """
+    rows = sample.where(F.col(band).isin(*BANDS) & F.col(text).isNotNull())
+    rows = rows.select(order, text, band, *([source] if source else [])).distinct().orderBy(order).limit(MAX_SAMPLE).collect()
+    rows = [(f, BANDS.index(r[band]), r) for r in rows if (f := features(r[text])) is not None]
+    if len(rows) < 2 * FOLDS:
+        raise ValueError(f"{len(rows)} graded passages are too few")
+    group = [str(r[source]) for _, _, r in rows] if source else _kin([r[text] for _, _, r in rows])
+    x, y = np.array([p[0] for p in rows]), np.array([p[1] for p in rows], float)
+    names = sorted(set(group))
+    if len(names) < FOLDS:  # too few to hold any out
+        group = names = list(map(str, range(len(rows))))
+    place = dict(zip(names, np.random.default_rng(11).permutation(len(names)) % FOLDS))
+    fold = np.array([place[g] for g in group])
+    oof, cal = np.empty(len(y)), np.empty(len(y))
     for k in range(FOLDS):
         oof[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).predict(x[fold == k])
-    knots = isotonic(oof, y)
-    cal = np.interp(oof, *knots)
-    return ReadingModel(Boosted().fit(x, y), knots, float((np.rint(cal) == y).mean()), float(np.sqrt(((cal - y) ** 2).mean())))
+    for k in range(FOLDS):
+        cal[fold == k] = np.interp(oof[fold == k], *isotonic(oof[fold != k], y[fold != k]))
+    return ReadingModel(Boosted().fit(x, y), isotonic(oof, y), list(zip(group, y.astype(int).tolist(), cal.tolist())))
+
+
+def validation(spark: SparkSession, model: ReadingModel) -> DataFrame:
+    """(source, band, n, n_right, rmse) of passages graded while their source was held out."""
+    held = spark.createDataFrame(model.held_out, "source string, at int, grade double")
+    band = F.element_at(F.array(*map(F.lit, BANDS)), F.col("at") + 1).alias("band")
+    return held.groupBy("source", "at").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.rint("grade") == F.col("at")).alias("n_right"), F.sqrt(F.avg((F.col("grade") - F.col("at")) ** 2)).alias("rmse")).select("source", band, "n", "n_right", "rmse")
 
 
 def grade(text: Column, model: ReadingModel) -> Column:

@@ -82,7 +82,7 @@ def test_slots(spark):
 
 def test_names_are_told_by_their_text():
     assert leak.names_in("Then Zoe met Hamish at the lake, and the Lake froze") == {"zoe", "hamish"}
-    assert leak.names_in("gestern hat der Müller dem Bauern das Korn und die Säcke gebracht") == set()
+    assert leak.names_in("gestern hat der Müller dem Bauern das Korn und die Säcke auf dem Wagen in die Mühle gebracht") == set()
 
 
 def test_against_brute_force_with_and_without_the_filter(spark):
