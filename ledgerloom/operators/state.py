@@ -88,10 +88,19 @@ def secondary_index_append_only(view: LogView, sk: str, log_key: str) -> DataFra
 def _ordered(df: DataFrame, cols: Sequence[str], asc: bool, offset: int, limit: int | None) -> DataFrame:
     if offset < 0 or (limit is not None and limit < 0):
         raise ValidationError("offset and limit must not be negative")
-    df = df.orderBy(*[F.col(c).asc() if asc else F.col(c).desc() for c in cols])
-    if offset:
-        df = df.offset(offset)
-    return df if limit is None else df.limit(limit)
+    ordered = df.orderBy(*[F.col(c).asc() if asc else F.col(c).desc() for c in cols])
+    if limit is not None:
+        return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
+    if not offset:
+        return ordered
+    # everything behind a place: a bare offset would draw all rows into one task, so the key
+    # at the place is looked up (a top-k of keys) and the rows behind it are filtered
+    types = [df.schema[c].dataType for c in cols]
+    edge = ordered.select(*cols).offset(offset - 1).limit(1).collect()
+    if not edge:
+        return df.limit(0)
+    at, key = F.struct(*[F.lit(v).cast(t) for v, t in zip(edge[0], types)]), F.struct(*cols)
+    return df.where(key > at if asc else key < at).orderBy(*[F.col(c).asc() if asc else F.col(c).desc() for c in cols])
 
 
 def _present(df: DataFrame, view: LogView, order: str, asc: bool, tag: str | None = None) -> DataFrame:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
-import tempfile
+import shutil
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.config import TableConfig
+from ledgerloom.config import IDX, SEG, TableConfig
 from ledgerloom.functions.keys import tagged
 from ledgerloom.operators import compaction, state
 from ledgerloom.operators.state import LogView
+from ledgerloom.sources.shared import fresh
 from ledgerloom.streaming.tail import MaterialisedLatest
 from ledgerloom.table import LogTable
 from ledgerloom.values import Bound
@@ -25,12 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh directory for a table: in the folder the cluster shares, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        shared = re.sub("^file:(//)?", "", shared)
-        os.makedirs(shared, exist_ok=True)
-    return os.path.join(tempfile.mkdtemp(prefix="ledger-", dir=shared), "table")
+    """A fresh directory for a table in the checkpoint folder; removed when the driver ends.
+
+    Tables need a POSIX file system; another kind of folder is refused.
+    """
+    path = fresh(spark, "ledger")
+    if "://" in path and not path.startswith("file://"):
+        raise RuntimeError(f"tables need a shared POSIX folder, not {path}")
+    path = re.sub("^file:(//)?", "", path)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return os.path.join(path, "table")
 
 
 # -- views of the given tables -------------------------------------------------------------
@@ -60,17 +66,48 @@ def log_state_as_of(spark, sf_dir):
     return state.state_as_of(events_log(spark, sf_dir), F.col("event_id") < 5000)
 
 
+def _event_log(spark, sf_dir) -> LogTable:
+    e = table(spark, sf_dir, "events")
+    t = LogTable.open(spark, TableConfig(scratch(spark), e.schema, "user_id", ("event_type",)))
+    t.upsert_df(e, order_by=["event_id"])
+    return t
+
+
 def log_scan_from(spark, sf_dir):
-    """Offset scan: log entries at or after a position, in a log split into segments of 1000."""
-    seg = F.floor(F.col("event_id") / 1000).cast("bigint")
-    df = table(spark, sf_dir, "events").withColumn("seg", seg)
-    return df.where("event_id >= 7500").select("seg", "event_id", "user_id", "event_type")
+    """Offset scan: log entries at or after the position of an entry."""
+    t = _event_log(spark, sf_dir)
+    at = t.log().where("event_id >= 7500").agg(F.min(F.struct(SEG, IDX))).first()[0]
+    log = t.log(at[0], at[1]) if at else t.log().limit(0)
+    return log.select("event_id", "user_id", "event_type")
 
 
 def fetch_positions(spark, sf_dir):
-    """Random-access fetch of tagged log positions: a semi-join on the position."""
-    view = LogView(table(spark, sf_dir, "events"), "event_id", unique=True)
-    return state.batch_find_by(view, "event_id", [17, 4000, 3, 17]).select("tag", "event_id", "user_id")
+    """Random-access fetch of log positions."""
+    t = _event_log(spark, sf_dir)
+    at = {r.event_id: (r[0], r[1]) for r in t.log().where(F.col("event_id").isin(17, 4000, 3)).select(SEG, IDX, "event_id").collect()}
+    return t.fetch([at.get(k, (0, -1)) for k in (17, 4000, 3, 17)]).select("tag", "event_id", "user_id")
+
+
+def _compacted_orders(spark, sf_dir) -> LogTable:
+    o = table(spark, sf_dir, "orders")
+    t = LogTable.open(spark, TableConfig(scratch(spark), o.schema, "o_orderkey", ("o_orderstatus",)))
+    t.upsert_df(o)
+    t.compact_all()
+    return t
+
+
+def table_get(spark, sf_dir):
+    """Point lookup in a compacted table: a pruned scan without a window."""
+    return _compacted_orders(spark, sf_dir).find_by("o_orderkey", 7)
+
+
+def table_range(spark, sf_dir):
+    return _compacted_orders(spark, sf_dir).range_by("o_orderkey", Bound.included(3), Bound.excluded(70))
+
+
+def table_page_rest(spark, sf_dir):
+    """Everything behind an offset."""
+    return _compacted_orders(spark, sf_dir).find_by("o_orderstatus", "F", offset=10).select("o_orderkey", "o_custkey")
 
 
 # -- lookups ---------------------------------------------------------------------------------
@@ -294,7 +331,7 @@ def streaming_latest(spark, sf_dir):
 
 
 _NAMES = (
-    "log_latest_state log_state_as_of log_scan_from fetch_positions get_by_pk get_after_tombstone find_by_sk find_by_superseded_sk find_by_null batch_find_by_pk batch_find_by_sk_paged "
+    "log_latest_state log_state_as_of log_scan_from fetch_positions table_get table_range table_page_rest get_by_pk get_after_tombstone find_by_sk find_by_superseded_sk find_by_null batch_find_by_pk batch_find_by_sk_paged "
     "range_half_open range_closed range_to range_from range_open range_sk_string range_decimal range_mixed_kinds page_asc page_desc newest_100 upsert_overlay tx_commit tx_rollback delete_by_pk delete_by_sk delete_by_sk_returning delete_overlay "
     "compact_segment compact_stats sk_index sk_index_append_only schema_add_field reopen_after_compaction incremental_refresh streaming_latest"
 ).split()
@@ -315,7 +352,10 @@ _SEG = "CAST(floor(event_id / 1000) AS BIGINT)"
 ORACLE_SQL = {
     "log_latest_state": _latest_sql(),
     "log_state_as_of": _latest_sql("WHERE event_id < 5000"),
-    "log_scan_from": f"SELECT {_SEG} AS seg, event_id, user_id, event_type FROM events WHERE event_id >= 7500",
+    "table_get": "SELECT * FROM orders WHERE o_orderkey = 7",
+    "table_range": "SELECT * FROM orders WHERE o_orderkey >= 3 AND o_orderkey < 70",
+    "table_page_rest": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey OFFSET 10",
+    "log_scan_from": f"SELECT event_id, user_id, event_type FROM events WHERE event_id >= 7500",
     "fetch_positions": "SELECT k.tag, e.event_id, e.user_id FROM (VALUES (0, 17), (1, 4000), (2, 3), (3, 17)) AS k(tag, key) JOIN events e ON e.event_id = k.key",
     "get_by_pk": "SELECT * FROM customer WHERE c_custkey = 7",
     "get_after_tombstone": f"SELECT count(*) AS n_live, (SELECT count(DISTINCT user_id) FROM events) - count(*) AS n_dead FROM ({_latest_sql()}) s",

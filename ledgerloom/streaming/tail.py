@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.config import TableConfig
+from ledgerloom.config import IDX, SEG, TableConfig
 from ledgerloom.table import LogTable
 
 
@@ -39,10 +39,15 @@ class MaterialisedLatest:
         if done is not None and batch_id <= done:
             return
         top = _newest(batch, self.pk, self.order)
-        current = self.table.latest().select(F.col(self.pk).alias("__pk"), F.struct(*self.order).alias("__at"))
+        # only keys of the batch are looked up: the table's history is filtered before it is reduced
+        keys = batch.select(F.col(self.pk).alias("__pk")).distinct()
+        log = self.table.log()
+        near = log.join(keys, F.col(self.pk).eqNullSafe(F.col("__pk")), "left_semi")
+        current = _newest(near, self.pk, (SEG, IDX)).select(F.col(self.pk).alias("__pk"), F.struct(*self.order).alias("__at"))
         newer = F.col("__at").isNull() | (F.struct(*self.order) > F.col("__at"))
         top = top.join(current, F.col(self.pk).eqNullSafe(F.col("__pk")), "left").where(newer)
         self.table.upsert_df(top.select(*self.schema.names), mark=(self.MARK, batch_id), assume_unique=True)
+        self.table.maintain()  # compacts once a segment is full
 
     def run(self, source_dir: str, files_per_trigger: int = 1) -> None:
         """Process everything that has arrived, then stop; restarts resume from the checkpoint."""

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.config import IDX, SEG, TOMB, ConfigBuilder, ReadConsistency, TableConfig, WriteDurability
-from ledgerloom.errors import ConsistencyError, TransactionError, ValidationError
+from ledgerloom.errors import ConsistencyError, StorageError, TransactionError, ValidationError
 from ledgerloom.operators import state
 from ledgerloom.operators.state import LogView
 from ledgerloom.sources.manifest import MAX_INDEX, Manifest, ManifestStore, Segment, WriterLock
 from ledgerloom.values import Bound, Kind, Value, column_kind
 
 
+#: Bits of an index that number the rows of one write task; the others number the tasks.
+TASK_BITS = 28
+
+
 @dataclass
 class _Staged:
     """One staged operation: rows in order, all live or all tombstones."""
@@ -106,7 +110,27 @@ class LogTable:
         return df
 
     def _view(self, manifest: Manifest | None = None, allow_scan: bool = False) -> LogView:
-        return LogView(self.log(manifest=manifest), self.config.primary_key, self.config.secondary_keys, (SEG, IDX), TOMB, allow_scan=allow_scan)
+        m = manifest or self._manifest()
+        held = [s for s in m.segments if s.data]
+        # one compacted segment holds every key once: no window, no shuffle
+        unique = len(held) == 1 and held[0].compacted
+        return LogView(self.log(manifest=m), self.config.primary_key, self.config.secondary_keys, (SEG, IDX), TOMB, unique=unique, allow_scan=allow_scan)
+
+    def fetch(self, positions: Sequence[tuple[int, int]], tag: str = "tag") -> DataFrame:
+        """Log entries at (segment, index) positions, live or not, each with its ordinal in the list.
+
+        Unknown positions give no row, repeated ones repeat theirs.  Only the named segments
+        are opened, and the indexes reach the Parquet scan.
+        """
+        if tag in self._log_schema().names:
+            raise ValidationError(f"tag column {tag!r} clashes with a field")
+        keys = self.spark.createDataFrame([(i, int(s), int(x)) for i, (s, x) in enumerate(positions)], f"{tag} int, __s int, __x bigint")
+        m = self._manifest().copy()
+        m.segments = [s for s in m.segments if s.number in {int(p[0]) for p in positions}]
+        log = self.log(manifest=m).where(F.col(IDX).isin([int(p[1]) for p in positions]) if positions else F.lit(False))
+        # the list comes from the driver, so its size is known; a long one is left to the planner
+        keys = F.broadcast(keys) if len(positions) <= 10_000 else keys
+        return log.join(keys, (F.col(SEG) == F.col("__s")) & (F.col(IDX) == F.col("__x"))).select(tag, *self._log_schema().names)
 
     def _out(self, df: DataFrame, with_position: bool, *extra: str) -> DataFrame:
         return df if with_position else df.select(*extra, *self.config.schema.names)
@@ -194,10 +218,18 @@ class LogTable:
         """Append full-row tombstones for the matching rows and return those rows.
 
         The result reads the version before the delete, so it stays right after the commit.
+        Lookup and append happen under one lock: nothing can be written in between.
         """
-        found = self.find_by(name, value)
-        if not found.isEmpty():
-            self._stage(_Staged(found, True))
+        if self._tx is not None:
+            found = self.find_by(name, value)
+            if not found.isEmpty():
+                self._tx.append(_Staged(found, True))
+            return found
+        with self._lock:
+            self.refresh()
+            found = self.find_by(name, value)
+            if not found.isEmpty():
+                self._commit([_Staged(found, True)])
         return found
 
     def _stage(self, op: _Staged) -> None:
@@ -260,14 +292,18 @@ class LogTable:
                 df = op.df
                 if op.order_by:
                     df = df.orderBy(*op.order_by)
-                # ids rise with the partition number and, inside it, with the row: after a
+                # indexes rise with the partition number and, inside it, with the row: after a
                 # range sort that is the sort order, and no shuffle is needed to number rows
-                df = df.select(F.lit(seg.number).alias(SEG), (F.monotonically_increasing_id() + F.lit(seg.next_idx)).alias(IDX), F.lit(op.tombstone).alias(TOMB), *self.config.schema.names)
+                at = F.monotonically_increasing_id()
+                row, task = at.bitwiseAND((1 << 33) - 1), F.shiftright(at, 33)
+                df = df.select(F.lit(seg.number).alias(SEG), (F.shiftleft(task, TASK_BITS) + row + F.lit(seg.next_idx)).alias(IDX), F.lit(op.tombstone).alias(TOMB), *self.config.schema.names, row.alias("__row"))
                 path = self._store.new_data_path()
                 written.append(path)
                 seen = Observation()  # counted while writing: no second pass
-                df.observe(seen, F.max(IDX).alias("top"), F.count(F.lit(1)).alias("n")).write.parquet(path)
+                df.observe(seen, F.max(IDX).alias("top"), F.count(F.lit(1)).alias("n"), F.max("__row").alias("row")).drop("__row").write.parquet(path)
                 top, n = seen.get["top"], seen.get["n"]
+                if n and (top >= MAX_INDEX or seen.get["row"] >> TASK_BITS):
+                    raise StorageError(f"a commit may have {MAX_INDEX >> TASK_BITS} tasks of {1 << TASK_BITS} rows")
                 seg.data.append(os.path.basename(path))
                 if op.mark is not None:
                     new.marks[op.mark[0]] = op.mark[1]
@@ -315,7 +351,7 @@ class LogTable:
         # the data keeps fields that a narrower client does not know
         schema = T.StructType.fromJson(self._wider(m))
         wide = LogTable(self.spark, _with_schema(self.config, schema), self._store, part)
-        rows = state.latest(wide._view(part), keep_tombstones=not whole).sortWithinPartitions(m.primary_key)
+        rows = state.latest(wide._view(part), keep_tombstones=not whole).orderBy(m.primary_key)  # files cover key ranges, so that lookups skip them
         path = self._store.new_data_path()
         new = m.copy()
         new.version += 1

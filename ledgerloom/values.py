@@ -113,7 +113,7 @@ class Value:
 
     def as_indexable(self) -> Value:
         if self._kind is Kind.BYTES:
-            raise ValidationError("Queried value must be indexable")
+            raise ValidationError("a BYTES value cannot be a key")
         return self
 
     def __repr__(self) -> str:

@@ -284,3 +284,81 @@ def test_builder_and_record_hooks(spark, tmp_path):
     )
     t.upsert({"key": 1, "label": "a"})
     assert t.get(1) == {"key": 1, "label": "a"} == t.delete(1) and t.get(1) is None
+
+
+def test_a_compacted_table_is_read_without_a_window(spark, tmp_path):
+    t = LogTable.configure(spark).data_dir(str(tmp_path / "t")).fields("id bigint, name string").primary_key("id").secondary_keys("name").initialize()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    t.upsert_df(spark.range(1000).selectExpr("id", "cast(id % 7 AS string) AS name"))
+    t.upsert((3, "new"))
+    t.delete(4)
+    assert "Window" in plan(t.find_by("id", 3))
+    t.compact_all()
+    p = plan(t.find_by("id", 3))
+    assert "Window" not in p and "Exchange" not in p and "EqualTo(id,3)" in p
+    assert t.get(3).name == "new" and t.get(4) is None and t.latest().count() == 999
+    t.upsert((3, "newer"))
+    assert t.get(3).name == "newer"
+
+
+def test_fetch_by_position(spark, tmp_path):
+    t = LogTable.configure(spark).data_dir(str(tmp_path / "t")).fields("id bigint, name string").primary_key("id").initialize()
+    t.upsert((1, "a"), (1, "b"), (2, "c"))
+    t.delete(2)
+    at = [(r[0], r[1]) for r in t.log().orderBy("_seg", "_idx").collect()]
+    got = t.fetch([at[0], at[3], (9, 9), at[0]]).orderBy("tag").collect()
+    assert [(r.tag, r.id, r.name, r._tombstone) for r in got] == [(0, 1, "a", False), (1, 2, "c", True), (3, 1, "a", False)]
+    assert t.fetch([]).count() == 0
+
+
+def test_too_many_rows_in_a_task_are_refused(spark, tmp_path, monkeypatch):
+    from ledgerloom import table as table_module
+    from ledgerloom.errors import StorageError
+
+    t = LogTable.configure(spark).data_dir(str(tmp_path / "t")).fields("id bigint").primary_key("id").initialize()
+    monkeypatch.setattr(table_module, "TASK_BITS", 3)
+    with pytest.raises(StorageError):
+        t.upsert_df(spark.range(100).coalesce(1))
+    assert t.latest().count() == 0
+    monkeypatch.setattr(table_module, "TASK_BITS", 46)
+    with pytest.raises(StorageError):
+        t.upsert_df(spark.range(100).repartition(8))
+
+
+def test_an_offset_without_a_limit_keeps_its_partitions(spark):
+    from ledgerloom.operators import state
+
+    df = spark.range(500).selectExpr("nullif(id, 0) AS id", "id % 3 AS g").repartition(4)
+    v = state.LogView(df, "id", ("g",), unique=True)
+    for asc in (True, False):
+        got = state.find_by(v, "g", 0, offset=20, sort_asc=asc)
+        assert "CollectLimit" not in got._jdf.queryExecution().executedPlan().toString()
+        want = sorted((i for i in range(0, 500, 3)), reverse=not asc)[20:]
+        assert [r.id or 0 for r in got.collect()] == want
+    assert state.find_by(v, "g", 0, offset=999).count() == 0
+
+
+def test_a_delete_and_an_upsert_at_once(spark, tmp_path):
+    """The row written while a delete is under way survives it or is deleted as seen; it is never killed unseen."""
+    import threading
+
+    make = lambda: LogTable.configure(spark).data_dir(str(tmp_path / "t")).fields("id bigint, name string").primary_key("id").secondary_keys("name").initialize()
+    a, b = make(), make()
+    a._lock.timeout_s = b._lock.timeout_s = 60
+    a.upsert((1, "old"))
+    looked = threading.Event()
+    find = a.find_by
+
+    def slow(*args, **kw):
+        out = find(*args, **kw)
+        looked.set()
+        threading.Event().wait(1.0)
+        return out
+
+    a.find_by = slow
+    deleting = threading.Thread(target=lambda: a.delete_by("name", "old"))
+    deleting.start()
+    looked.wait()
+    b.upsert((1, "new"))  # waits for the lock
+    deleting.join()
+    assert make().get(1).name == "new"
