@@ -246,15 +246,20 @@ def features(sentence: str, context: str = "") -> dict[str, float]:
     for k, p in PHRASES.items():
         classes[k] = bool(may & bit[k] and p.search(flat))
     on = [k for k, v in classes.items() if v]
+    if not on:
+        return f
     for k in on:
         f[k] = 1.0
-    for a, b in _PAIRS:
-        if classes[a] and classes[b]:
-            f[f"{a}&{b}"] = 1.0
+    if len(on) > 1:
+        for k in on:
+            for other, name in _PAIRS_OF.get(k, ()):
+                if classes[other]:
+                    f[name] = 1.0
     quiet = classes["said_by_others"] or classes["figurative"] or classes["of_a_thing"]
-    for k in ("insult", "harm", "sexual", "dehumanising", "threat", "act", "ad"):
-        if classes[k] and not quiet:
-            f[f"{k}!"] = 1.0
+    if not quiet:
+        for k in ("insult", "harm", "sexual", "dehumanising", "threat", "act", "ad"):
+            if classes[k]:
+                f[f"{k}!"] = 1.0
     if (classes["exclude"] or classes["essence"] or classes["exterminate"] or classes["dehumanising"]) and classes["group"] and not quiet and not classes["harmless_group"]:
         f["against_group"] = 1.0
     if context and classes["essence"] and _group_in(context):
@@ -272,6 +277,9 @@ _PAIRS = (
     ("insult", "you"), ("insult", "named"), ("insult", "demean"), ("insult", "dismiss"), ("insult_adj", "you"), ("insult", "insult_adj"), ("insult", "thing"), ("harm", "you"), ("threat", "you"), ("dismiss", "you"), ("group", "dehumanising"), ("group", "exclude"), ("group", "essence"), ("group", "exterminate"), ("dehumanising", "essence"),
     ("sexual", "solicit"), ("sexual", "you"), ("sexual", "act"), ("sexual", "ad"), ("sexual", "thing"), ("act", "you"), ("act", "solicit"), ("sexual", "reporting"), ("insult", "reporting"), ("insult", "said_by_others"), ("harm", "figurative"), ("group", "harmless_group"), ("insult", "of_a_thing"), ("sexual", "dismiss"), ("group", "insult"),
 )
+_PAIRS_OF: dict[str, list[tuple[str, str]]] = {}
+for _a, _b in _PAIRS:
+    _PAIRS_OF.setdefault(_a, []).append((_b, f"{_a}&{_b}"))
 _SCORED_WORDS = INSULT_NOUNS | SEXUAL | DEHUMANISING | HARM
 
 
@@ -297,6 +305,10 @@ def ngrams(sentence: str) -> list[str]:
     return out
 
 
+#: Words, sentences and feature sets whose sums a task remembers.
+_MEMORY = 1 << 16
+_NOTHING = (0.0, 0.0, 0.0)
+
 #: Weight of an n-gram beside a class: many of them fire at once.
 GRAM = 0.3
 #: Weight of a harmless training message: harmless text is far more varied than what is written here.
@@ -311,12 +323,15 @@ class Model:
     by_kind: dict[str, CumulativeLink]
     _seen: dict[tuple[str, ...], tuple[float, ...]] = field(default_factory=dict)
     _of_word: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    _sentences: dict[str, tuple[float, float, float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         names = {n for m in self.by_kind.values() for n in m.weights}
         of = lambda n, by: tuple(by * m.weights.get(n, 0.0) for m in self.by_kind.values())
         self._classes = {n: of(n, 1.0) for n in names if n[1:2] != ":" or n[0] == "w"}
-        self._grams = {n: of(n, GRAM) for n in names if n not in self._classes}
+        grams = {n: of(n, GRAM) for n in names if n not in self._classes}
+        self._grams = {n: x for n, x in grams.items() if n[0] in "1c"}
+        self._two, self._three = ({tuple(n[2:].split(" ")): x for n, x in grams.items() if n[0] == k} for k in "23")
         self._cuts = [m.cuts.tolist() for m in self.by_kind.values()]
 
     def severities(self, text: str | None) -> tuple[list[float], list[bool]]:
@@ -330,44 +345,57 @@ class Model:
         before = ""
         for s in sentences(text):
             c = clean(s)
-            f = features(c, before)
-            before = c
-            key = tuple(f)
-            z = self._seen.get(key)
-            if z is None:
-                if len(self._seen) > 1 << 16:
-                    self._seen.clear()
-                parts = [tuple(v * x for x in self._classes[n]) for n, v in f.items() if n in self._classes]
-                z = self._seen[key] = tuple(map(sum, zip(*parts))) if parts else (0.0,) * len(KINDS)
-            a = self._ngrams(c)
-            for i, cuts in enumerate(self._cuts):
-                x = z[i] + a[i]
+            for i, (cuts, x) in enumerate(zip(self._cuts, self._links(c, before))):
                 if x - cuts[0] > -6:
                     e = sum(1 / (1 + exp(min(35.0, cut - x))) for cut in cuts)
                     if e > best[i]:
                         best[i] = e
                     hit[i] = hit[i] or x > cuts[0]
+            before = c
         return best, hit
 
-    def _ngrams(self, c: str) -> list[float]:
+    def _links(self, c: str, before: str) -> tuple[float, float, float]:
+        """Sums of the weights of a cleaned sentence, per kind."""
+        known = self._sentences.get(c)
+        if known is not None:
+            return known
+        f = features(c, before)
+        key = tuple(f)
+        z = self._seen.get(key)
+        if z is None:
+            if len(self._seen) > _MEMORY:
+                self._seen.clear()
+            parts = [tuple(v * x for x in self._classes[n]) for n, v in f.items() if n in self._classes]
+            z = self._seen[key] = tuple(map(sum, zip(*parts))) if parts else (0.0,) * len(KINDS)
+        p, q, r = z
         words = _WORDS.findall(c)
-        total = [0.0] * len(KINDS)
-        get = self._grams.get
+        of_word, last, last2 = self._of_word, "<", None
         for w in words:
-            x = self._of_word.get(w)
+            x = of_word.get(w)
             if x is None:
-                if len(self._of_word) > 1 << 16:
-                    self._of_word.clear()
-                own = [get(n) for n in ngrams(w) if n[0] in "1c"]
-                own = [o for o in own if o]
-                x = self._of_word[w] = tuple(map(sum, zip(*own))) if own else (0.0,) * len(KINDS)
-            total = [p + q for p, q in zip(total, x)]
-        ends = ["<", *words, ">"]
-        for kind, step in (("2:", 1), ("3:", 2)):
-            for a, b in zip(ends, ends[step:]):
-                if x := get(f"{kind}{a} {b}"):
-                    total = [p + q for p, q in zip(total, x)]
-        return total
+                x = self._word(w)
+            if x is not _NOTHING:
+                p, q, r = p + x[0], q + x[1], r + x[2]
+        two, three = self._two, self._three
+        for w in [*words, ">"]:
+            if x := two.get((last, w)):
+                p, q, r = p + x[0], q + x[1], r + x[2]
+            if last2 is not None and (x := three.get((last2, w))):
+                p, q, r = p + x[0], q + x[1], r + x[2]
+            last, last2 = w, last
+        if "essence" not in f:  # else the sentence before may matter
+            if len(self._sentences) > _MEMORY:
+                self._sentences.clear()
+            self._sentences[c] = p, q, r
+        return p, q, r
+
+    def _word(self, w: str) -> tuple[float, ...]:
+        """What a word and its pieces weigh, remembered."""
+        if len(self._of_word) > _MEMORY:
+            self._of_word.clear()
+        own = [o for o in map(self._grams.get, (n for n in ngrams(w) if n[0] in "1c")) if o]
+        x = self._of_word[w] = tuple(map(sum, zip(*own))) if own else _NOTHING
+        return x
 
     @property
     def floor(self) -> tuple[float, ...]:
