@@ -34,8 +34,8 @@ from ledgerloom.sources.spread import spread
 WINDOW = 12
 LITERALS = 6
 LEAST = 3
-#: Share of capitalised words inside sentences above which capitals do not tell names.
-NOUN_CAPITALS = 0.2
+#: Words capitalised inside a sentence, as a share of all words, above which capitals do not tell names.
+NOUN_CAPITALS = 0.15
 #: Item windows up to which their hashes travel with the tasks (8 bytes each).
 MAX_FILTER = 2_000_000
 
@@ -72,17 +72,18 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_plain(text).casefold())
 
 
-_INSIDE = re.compile(r"(?<=[a-zß-ÿ,;] )[^\W\d_]{3,}")
+_CAPITAL_INSIDE = re.compile(r"(?<=[a-zß-ÿ,;] )[A-ZÀ-Þ][^\W\d_]{2,}")
 
 
 def names_in(text: str) -> set[str]:
     """Words that a text capitalises inside a sentence and nowhere writes small."""
-    inside = _INSIDE.findall(text)
-    capitals = [w for w in inside if w[0].isupper() and not w.isupper()]
-    if len(capitals) > NOUN_CAPITALS * len(inside) and len(set(capitals)) > 4:
+    capitals = [w for w in _CAPITAL_INSIDE.findall(text) if not w.isupper()]
+    if not capitals:
         return set()
-    small = set(_WORD.findall(text)) if capitals else set()
-    return {w.casefold() for w in capitals if w.lower() not in small}
+    names = set(capitals)
+    if len(capitals) > NOUN_CAPITALS * (text.count(" ") + 1) and len(names) > 4:
+        return set()
+    return {w.casefold() for w in names if w.lower() not in text or not re.search(rf"(?<![^\W_]){w.lower()}(?![^\W_])", text)}
 
 
 def canonical(word: str) -> str:
@@ -91,34 +92,39 @@ def canonical(word: str) -> str:
     return "<unit>" if word in UNITS else word
 
 
+class _Codes(dict):
+    """Numbers words; their hash, their template hash and whether they are a slot stand in arrays."""
+
+    def __init__(self) -> None:
+        self.plain, self.template, self.slot = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.slot):
+            self.plain, self.template, self.slot = (np.concatenate([x, np.zeros_like(x)]) for x in (self.plain, self.template, self.slot))
+        t = canonical(word)
+        self.plain[n], self.template[n], self.slot[n] = xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(t, 1), t != word
+        self[word] = n
+        return n
+
+
+_NAME = np.uint64(xxhash.xxh64_intdigest("<name>", 1))
+
+
 class Windows:
     """Hashes of the windows of a text, as they are and as templates."""
 
     def __init__(self, width: int = WINDOW):
-        self.width = width
-        self._codes: dict[str, tuple[int, int, bool]] = {}
+        self.width, self._codes = width, _Codes()
         with np.errstate(over="ignore"):
             self._powers = np.cumprod(np.full(width, 0x9E3779B97F4A7C15, np.uint64))
 
-    def _code(self, word: str) -> tuple[int, int, bool]:
-        c = self._codes.get(word)
-        if c is None:
-            if len(self._codes) > 1 << 19:
-                self._codes.clear()
-            t = canonical(word)
-            c = self._codes[word] = (xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(t, 1), t != word)
-        return c
-
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_codes": {}}
+        return {**self.__dict__, "_codes": _Codes()}
 
-    def _rolled(self, code: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(self.width):
-                out += code[j : j + n] * self._powers[j]
-            out ^= out >> np.uint64(29)
-        return out.view(np.int64)
+    def _rolled(self, code: np.ndarray) -> np.ndarray:
+        out = np.correlate(code, self._powers, "valid")
+        return (out ^ (out >> np.uint64(29))).view(np.int64)
 
     def of(self, text: str | None) -> tuple[list[str], set[str], np.ndarray, np.ndarray, np.ndarray]:
         """Words, names, hashes of all windows, places and hashes of the templates."""
@@ -128,25 +134,26 @@ class Windows:
         none = np.empty(0, np.int64)
         if n <= 0:
             return ws, set(), none, none, none
+        if len(self._codes) > 1 << 19:
+            self._codes = _Codes()
+        at = np.fromiter(map(self._codes.__getitem__, ws), np.int64, len(ws))
+        plain = self._rolled(self._codes.plain[at])
+        template, slot = self._codes.template[at], self._codes.slot[at]
         names = names_in(text)
-        codes = list(map(self._code, ws))
-        plain = np.fromiter((c[0] for c in codes), np.uint64, len(ws))
         if names:
-            codes = [_NAME if w in names else c for w, c in zip(ws, codes)]
-        slot = np.fromiter((c[2] for c in codes), np.int64, len(ws))
-        slots = np.convolve(slot, np.ones(self.width, np.int64), "valid")
-        at = np.flatnonzero((slots > 0) & (slots <= self.width - LITERALS))
-        if not len(at):
-            return ws, names, self._rolled(plain, n), none, none
-        return ws, names, self._rolled(plain, n), at, self._rolled(np.fromiter((c[1] for c in codes), np.uint64, len(ws)), n)[at]
+            is_name = np.isin(at, [self._codes[w] for w in names])
+            template[is_name], slot[is_name] = _NAME, 1
+        if not slot.any():
+            return ws, names, plain, none, none
+        sums = np.concatenate([[0], np.cumsum(slot)])
+        slots = sums[self.width :] - sums[: -self.width]
+        places = np.flatnonzero((slots > 0) & (slots <= self.width - LITERALS))
+        return ws, names, plain, places, self._rolled(template)[places]
 
     def slots(self, window: list[str], names: set[str]) -> list[str]:
         return [w for w in window if w in names or canonical(w) != w]
 
 
-_NAME = (0, xxhash.xxh64_intdigest("<name>", 1), True)
-
-
 def _emit(windows: Windows, wanted: np.ndarray | None, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bits = None
