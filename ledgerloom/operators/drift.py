@@ -11,19 +11,22 @@ a file or feed does not matter; only profiles, one row per (file, field), meet.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from string import ascii_letters
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.assignment import assign
-from ledgerloom.sources.checkpoint import ensure_checkpoint_dir
+from ledgerloom.sources.shared import written
 
 TYPES = ("whole", "decimal", "string", "boolean", "array", "object")
 FILE = ("feed_id", "file_id")
 #: A pair of fields below this score is not a rename.
 MIN_SCORE = 0.55
 _MAX_WHOLE_DIGITS = 18
+#: Parts into which the lines of a file are dealt.
+DEALT = 32
 
 
 def _type_of(schema: Column) -> Column:
@@ -54,15 +57,20 @@ def parse_lines(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = files.select(*FILE, "written_at", "layout", F.col("line_no").cast("bigint").alias("line_no"), "payload").dropna(subset=[*FILE])
     versions = base.groupBy(*FILE).agg(F.min("written_at").alias("written_at"), F.min("layout").alias("layout"))
     lines = base.groupBy(*FILE, "line_no").agg(F.min_by("payload", F.xxhash64("payload")).alias("payload"), F.min("layout").alias("layout"))
-    header = lines.where("layout = 'values' AND line_no = 0").select(*FILE, F.posexplode(F.from_json("payload", "array<string>")).alias("pos", "field"))
-    header = header.where("field IS NOT NULL").groupBy(*FILE, "field").agg(F.min("pos").alias("pos"))
+    # the header of a file: one short array, joined to its lines before they are taken apart;
+    # the lines of a file are dealt out, so that those of a hot one do not meet
+    deal = F.pmod(F.coalesce("line_no", F.lit(0)), F.lit(DEALT)).cast("int")
+    names = F.from_json("payload", "array<string>")
+    names = F.transform(names, lambda x, i: F.when(F.array_position(names, x) == i + 1, x)).alias("__names")
+    header = lines.where("layout = 'values' AND line_no = 0").select(*FILE, names, F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))).alias("__deal"))
+    lines = lines.withColumn("__deal", deal).join(header, [*FILE, "__deal"], "left")
     cell = "pos, key, schema_of_variant(value) AS s, CAST(try_variant_get(value, '$', 'string') AS string) AS value"
-    exploded = files.sparkSession.sql(f"SELECT feed_id, file_id, line_no, layout, {cell} FROM {{lines}}, LATERAL variant_explode(__v)", lines=lines.withColumn("__v", F.try_parse_json("payload")))
+    exploded = files.sparkSession.sql(f"SELECT feed_id, file_id, line_no, layout, __names, {cell} FROM {{lines}}, LATERAL variant_explode(__v)", lines=lines.withColumn("__v", F.try_parse_json("payload")))
     # an object names its fields; positions are named by the header, which stands for itself without a value
     of_object = (F.col("layout") == "object") & F.col("key").isNotNull()
     of_header = (F.col("layout") == "values") & F.col("key").isNull()
-    cells = exploded.join(header.withColumnRenamed("field", "__name"), [*FILE, "pos"], "left")
-    cells = cells.withColumn("field", F.when(of_object, F.col("key")).when(of_header, F.col("__name"))).where("field IS NOT NULL")
+    field = F.when(of_object, F.col("key")).when(of_header, F.get("__names", F.col("pos")))
+    cells = exploded.withColumn("field", field).where("field IS NOT NULL")
     said = F.when((F.col("layout") == "object") | (F.col("line_no") > 0), True)
     return versions, cells.select(*FILE, "line_no", "field", F.when(said, _type_of(F.col("s"))).alias("type"), F.when(said, F.col("value")).alias("value"))
 
@@ -74,15 +82,15 @@ def profiles(cells: DataFrame) -> DataFrame:
     are none; sketch and shape cover the values of that type and of every other.
     """
     v = F.col("value")
-    size = lambda pattern: F.regexp_count(v, F.lit(pattern))
+    size = lambda chars: F.length(v) - F.length(F.translate(v, chars, ""))
     g = cells.groupBy(*FILE, "field").agg(
         *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES],
         F.count("type").alias("n"),
         F.theta_sketch_agg(F.when(F.col("type").isNotNull(), v)).alias("sketch"),
         F.avg(F.length(v)).alias("f_len"),
-        F.avg(size("[0-9]") / F.greatest(F.length(v), F.lit(1))).alias("f_digit"),
-        F.avg(size("[A-Za-z]") / F.greatest(F.length(v), F.lit(1))).alias("f_alpha"),
-        F.avg(size(r"[ ,.#-]") / F.greatest(F.length(v), F.lit(1))).alias("f_punct"),
+        F.avg(size("0123456789") / F.greatest(F.length(v), F.lit(1))).alias("f_digit"),
+        F.avg(size(ascii_letters) / F.greatest(F.length(v), F.lit(1))).alias("f_alpha"),
+        F.avg(size(" ,.#-") / F.greatest(F.length(v), F.lit(1))).alias("f_punct"),
         F.avg(F.when(F.col("type").isin("whole", "decimal"), F.log1p(F.abs(v.try_cast("double"))))).alias("f_size"),
     )
     top = F.greatest(*[F.col(f"n_{t}") for t in TYPES])
@@ -167,10 +175,9 @@ def changes(versions: DataFrame, profile: DataFrame) -> DataFrame:
 
 def drift_report(files: DataFrame) -> DataFrame:
     """Every change of every file against the file of its feed written just before it."""
-    ensure_checkpoint_dir(files.sparkSession)
     versions, cells = parse_lines(files)
     # the profiles are read twice, as a file's own and as the next one's: written, not computed, twice
-    return changes(versions, profiles(cells).checkpoint())
+    return changes(versions, written(profiles(cells), "profiles"))
 
 
 def lifetimes(versions: DataFrame, cells: DataFrame, report: DataFrame) -> DataFrame:
@@ -188,10 +195,11 @@ def lifetimes(versions: DataFrame, cells: DataFrame, report: DataFrame) -> DataF
     parents = edges.join(life.select("feed_id", F.col("field").alias("came_from"), F.col("ord").alias("at"), F.col("start").alias("ps")), ["feed_id", "came_from", "at"]).select("feed_id", "f", "s", F.col("came_from").alias("pf"), "ps")
     roots = life.groupBy("feed_id", F.col("field").alias("f"), F.col("start").alias("s")).agg(F.lit(1).alias("one")).drop("one").join(parents, ["feed_id", "f", "s"], "left")
     roots = roots.select("feed_id", "f", "s", F.coalesce("pf", "f").alias("rf"), F.coalesce("ps", "s").alias("rs"))
-    roots = roots.checkpoint()
+    roots = written(roots, "roots")
     while True:  # pointer doubling: the number of rounds is the log of the longest chain of renames
         up = roots.select("feed_id", F.col("f").alias("rf"), F.col("s").alias("rs"), F.col("rf").alias("rf2"), F.col("rs").alias("rs2"))
-        step = roots.join(up, ["feed_id", "rf", "rs"]).select("feed_id", "f", "s", "rf", "rs", "rf2", "rs2").checkpoint()
+        step = roots.join(up, ["feed_id", "rf", "rs"]).select("feed_id", "f", "s", "rf", "rs", "rf2", "rs2")
+        step = written(step, "roots")
         moved = not step.where("rf <> rf2 OR rs <> rs2").isEmpty()
         roots = step.select("feed_id", "f", "s", F.col("rf2").alias("rf"), F.col("rs2").alias("rs"))
         if not moved:
@@ -205,10 +213,10 @@ def unify(files: DataFrame) -> DataFrame:
     fields maps the canonical name (the oldest along the renames of the feed) to the
     value as JSON text; NULL values and missing fields are absent.
     """
-    ensure_checkpoint_dir(files.sparkSession)
     versions, cells = parse_lines(files)
-    cells = cells.checkpoint()
-    names = lifetimes(versions, cells, changes(versions, profiles(cells).checkpoint()).checkpoint())
+    cells = written(cells, "cells")
+    report = written(changes(versions, written(profiles(cells), "profiles")), "report")
+    names = lifetimes(versions, cells, report)
     body = cells.join(versions.select(*FILE, "layout"), list(FILE)).where("layout = 'object' OR line_no > 0")
     body = body.join(names, [*FILE, "field"])
     present = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("canonical", "value")))))

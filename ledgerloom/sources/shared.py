@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.errors import StorageError
 from ledgerloom.sources.checkpoint import ensure_checkpoint_dir
@@ -16,6 +16,12 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows, written once to the checkpoint folder and read from there: lineage ends here."""
+    df.write.parquet(path := fresh(df.sparkSession, what))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class SharedFolder:
     """The few operations a commit needs; data goes through Spark's readers and writers."""
 
