@@ -362,3 +362,15 @@ def test_a_delete_and_an_upsert_at_once(spark, tmp_path):
     b.upsert((1, "new"))  # waits for the lock
     deleting.join()
     assert make().get(1).name == "new"
+
+
+def test_the_example_posts_and_shows(spark, tmp_path):
+    import importlib.util
+    import os
+
+    spec = importlib.util.spec_from_file_location("chat_log", os.path.join(os.path.dirname(os.path.dirname(__file__)), "examples", "chat_log.py"))
+    chat = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(chat)
+    log = chat.open_log(spark, str(tmp_path / "chat"))
+    chat.post(log, "ada", "hello", "there")
+    assert {r.msg for r in chat.newest(log)} == {"hello", "there"} and len(chat.newest(log, 1)) == 1
